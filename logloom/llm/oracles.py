@@ -1,3 +1,102 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+#: Fixed value: the separators of words, as an RE2 pattern.
+_SPACE = r"[\x20\x09-\x0D]"
+
+_OP2 = rf"""
+with d as (
+  select row_number() over () as r, doc_id, source, coalesce(text, '') as text from documents
+), w as (
+  select r, list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda x: x <> '') as w from d
+), spans as (
+  select r, i, array_to_string(w[i:i+4], ' ') as g from (select r, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)
+), twice as (
+  select r, i from spans qualify count(*) over (partition by r, g) > 1
+), covered as (
+  select r, count(distinct i + k) as n from twice, (select unnest([0, 1, 2, 3, 4]) as k) group by r
+), raw_lines as (
+  select r, unnest(string_split(text, chr(10))) as l from d
+), dup as (
+  select r, count(*) - count(distinct l) as n from raw_lines where regexp_matches(l, '[^\x20\x09-\x0D]') group by r
+), norm as (
+  select distinct r, lower(trim(regexp_replace(l, '{_SPACE}+', ' ', 'g'), ' ')) as l from raw_lines
+), lines as (
+  select r, source, l, len(string_split(l, ' ')) as n from norm join d using (r) where l <> ''
+), common as (
+  select source, l from lines group by source, l having count(*) > 10
+), totals as (
+  select a.r, sum(a.n) as line_words, coalesce(sum(case when c.l is not null then a.n end), 0) as removed
+  from lines a left join common c on a.source is not distinct from c.source and a.l = c.l group by a.r
+), base as (
+  select d.doc_id, len(w.w)::bigint as n_words, length(array_to_string(w.w, ''))::bigint as word_chars,
+    (length(d.text) - length(translate(d.text, '#*$%&|<>', '')))::bigint as n_symbols, coalesce(dup.n, 0)::bigint as n_dup_lines,
+    coalesce(covered.n, 0)::bigint as n_repeat_words, coalesce(t.line_words, 0)::bigint as line_words, coalesce(t.removed, 0)::bigint as removed_words
+  from d join w using (r) left join dup using (r) left join covered using (r) left join totals t using (r)
+), judged as (
+  select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from base
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, line_words, removed_words,
+  not base_failed and 2 * (line_words - removed_words) >= line_words as kept
+from judged
+"""
+
+#: SHA-1 in base32: five hex digits give four characters of five bits.
+_B32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {k + 1}, 5))::int >> {s}) & 31), 1)" for k in range(0, 40, 5) for s in (15, 10, 5, 0)
+)
+_OP3 = f"""
+with p as (
+  select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages
+), f as (
+  select h, min(page_id) as first_id from p group by h
+)
+select page_id, strlen(html)::bigint as payload_bytes, {_B32} as payload_digest,
+  case when page_id = first_id then 'response' else 'revisit' end as record_type, case when page_id <> first_id then first_id end as refers_to
+from p join f using (h)
+"""
+
+_OP4 = rf"""
+with d as (
+  select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents
+), l as (
+  select doc_id, unnest(range(1, len(ls) + 1)) as pos, unnest(ls) as line from d
+), k as (
+  select *, translate(regexp_replace(line, '^{_SPACE}+|{_SPACE}+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l
+), often as (
+  select key, max(doc_id) as keeper from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3
+), judged as (
+  select k.*, o.keeper is not null and o.keeper <> k.doc_id as gone from k left join often o using (key)
+)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from judged group by doc_id
+"""
+
+
+def _escape(x: str) -> str:
+    entity = "(amp;|lt;|#91;|#10;)"
+    x = f"regexp_replace({x}, '&{entity}', '&amp;\\1', 'g')"
+    x = f"regexp_replace({x}, '<(\\|turn\\|>|\\|end\\|>|\\|im_start\\|>|\\|im_end\\|>|\\|endoftext\\|>|s>|/s>|<SYS>>|</SYS>>)', '&lt;\\1', 'g')"
+    return f"regexp_replace({x}, '\\[(INST\\]|/INST\\])', '&#91;\\1', 'g')"
+
+
+_OP6 = f"""
+with t as (
+  select conv_id, turn, role, text from conversations
+  union all select * from (values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), o as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as i,
+    count(*) over (partition by conv_id) as n, coalesce(role, '') as role, coalesce(text, '') as text from t
+), f as (
+  select *, length('<|turn|>' || replace({_escape("role")}, chr(10), '&#10;') || chr(10) || {_escape("text")} || '<|end|>' || chr(10)) as size from o
+), p as (
+  select *, sum(size) over (partition by conv_id order by i) as upto from f
+)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')) as loss_sha256,
+  coalesce(sum(upto) filter (role = 'assistant' or i = n), 0)::bigint as formatted_chars
+from p group by conv_id
+"""
+
+ORACLES: dict[str, str] = {"op2_line_frequency": _OP2, "op3_warc_transactions": _OP3, "op4_line_runs": _OP4, "op6_prefix_targets": _OP6}
