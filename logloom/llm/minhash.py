@@ -3,10 +3,12 @@
 Every document is the set of its five-word shingles and has a sketch of POSITIONS minwise tokens. In each of `trees`
 independent trees a node picks, by a hash of its path, which position its members branch on; members with equal tokens
 go down together. A node of at most `leaf` members is compared exhaustively; a larger one branches again. Nodes that are
-still large at the last level hold groups of near copies: every member is compared with pivots, those members that the
-largest number of large nodes hold, and with one drawn by hash, so work stays linear in the group. What isn't yet in
-the pivots' component is then compared with the whole node, in blocks. Links are confirmed on full sets, and components
-of the links give the classes. Equal sets are one representative throughout, so exact copies form no pairs.
+still large at the last level hold groups of near copies.
+
+Comparison takes two rounds. First every member of a node is compared with pivots, the members that the largest number
+of nodes hold, so work is linear in a group. Then, in each node whose members aren't in one component yet, every pair
+across components is compared (in a large node: what is outside its main component with all the rest, in blocks). Links
+within a component would change nothing. Links are confirmed on full sets, and components of the links give the classes. Equal sets are one representative throughout, so exact copies form no pairs.
 
 Defined cases: null, empty and blank texts have the empty set and link with nothing; fewer words than five are one
 shingle; rows that repeat an id are one document if their texts' sets agree, else each set links on its own and the id
@@ -97,11 +99,22 @@ def tree_nodes(reps: DataFrame, trees: int, leaf: int, depth: int) -> tuple[Data
 
 
 def small_pairs(small: DataFrame, reps: DataFrame, percent: int, slack: float) -> DataFrame:
-    """Pairs (a, b), a < b, that meet in a small node and may be similar enough."""
-    held = small.join(reps.select("id", F.struct(F.col("id"), F.col("n_shingles").alias("n"), "sketch").alias("m")), "id")
-    whole = held.groupBy("node").agg(F.sort_array(F.collect_list("m")).alias("ms"))  # at most `leaf` members
-    found = F.flatten(F.transform("ms", lambda a, i: F.transform(F.filter("ms", lambda b, j: (j > i) & maybe(a, b, percent, slack)), lambda b: F.struct(a["id"].alias("a"), b["id"].alias("b")))))
-    return whole.select(F.explode(found).alias("p")).select("p.a", "p.b")
+    """Pairs (a, b), a < b, of the members of a small node with its pivot: the member that the most small nodes hold."""
+    held = small.join(small.groupBy("id").agg(F.count("*").alias("nodes")), "id")
+    m = F.struct("nodes", F.xxhash64("id").alias("h"), "id", F.col("n_shingles").alias("n"), "sketch").alias("m")
+    whole = held.join(reps.select("id", "n_shingles", "sketch"), "id").select("node", m).groupBy("node").agg(F.max("m").alias("p"), F.collect_list("m").alias("ms"))  # at most `leaf` members
+    found = F.transform(F.filter("ms", lambda x: (x["id"] != F.col("p.id")) & maybe(x, F.col("p"), percent, slack)), lambda x: x["id"])
+    return whole.select("p.id", F.explode(found).alias("x")).select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+
+
+def small_rest(small: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, slack: float) -> DataFrame:
+    """All other pairs of a small node whose members are in different components; nodes of one component need no more."""
+    known = small.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("node", "id", F.coalesce("label", "id").alias("label"))
+    open_nodes = known.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo < hi and members > 2").select("node")
+    m = F.struct("id", F.col("n_shingles").alias("n"), "sketch", "label").alias("m")
+    whole = known.join(open_nodes, "node").join(reps.select("id", "n_shingles", "sketch"), "id").select("node", m).groupBy("node").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    found = F.flatten(F.transform("ms", lambda a, i: F.transform(F.filter("ms", lambda b, j: (j > i) & (a["label"] != b["label"]) & maybe(a, b, percent, slack)), lambda b: F.struct(a["id"].alias("a"), b["id"].alias("b")))))
+    return whole.select(F.explode(found).alias("p")).select("p.a", "p.b").distinct()
 
 
 def pivot_pairs(large: DataFrame, reps: DataFrame, percent: int, slack: float) -> DataFrame:
@@ -171,13 +184,14 @@ def near_duplicates(
     sets = known.where("n_shingles > 0")
     reps = stored(sets.groupBy("s1", "s2").agg(F.min(F.struct("id", "n_shingles", "sketch")).alias("m")).select("s1", "s2", "m.*"), "reps")
     small, large = tree_nodes(reps, trees, leaf, depth)
-    links = cut(confirmed(small_pairs(small, reps, percent, slack).union(pivot_pairs(large, reps, percent, slack)).distinct(), used, percent))
+    tested = cut(small_pairs(small, reps, percent, slack).union(pivot_pairs(large, reps, percent, slack)).distinct())
+    links = cut(confirmed(tested, used, percent))
     labels = components(links)
-    if not large.isEmpty():
-        more = cut(strays(large, labels, reps, percent, slack))
-        if not more.isEmpty():
-            links = cut(links.union(confirmed(more, used, percent)))
-            labels = components(links)
+    rest = small_rest(small, labels, reps, percent, slack).union(strays(large, labels, reps, percent, slack)).distinct()
+    more = cut(rest.join(tested, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        links = cut(links.union(confirmed(more, used, percent)))
+        labels = components(links)
     classes = reps.select("s1", "s2", "id").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("label", "id").alias("component_id"))
     out = known.select("id", "n_shingles", "s1", "s2").join(classes, (F.col("n_shingles") > 0) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
     real = lambda c: F.when(c != NO_ID, c)
