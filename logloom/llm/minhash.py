@@ -11,8 +11,8 @@ across components is compared (in a large node: what is outside its main compone
 within a component would change nothing. Links are confirmed on full sets, and components of the links give the classes. Equal sets are one representative throughout, so exact copies form no pairs.
 
 Defined cases: null, empty and blank texts have the empty set and link with nothing; fewer words than five are one
-shingle; rows that repeat an id are one document if their texts' sets agree, else each set links on its own and the id
-gets the smallest component; a null id takes part as the smallest id and is returned as null. Extra columns are
+shingle; rows that repeat id and text are one document, each row with the same result (an id is expected to name one
+text); a null id takes part as the smallest id and is returned as null. Extra columns are
 ignored. An empty table gives an empty result.
 """
 
@@ -131,44 +131,82 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int, slack: float) -> Dat
     return pairs.join(side("a"), "a").join(side("b"), "b").where(maybe(F.col("ma"), F.col("mb"), percent, slack)).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough. Only the texts of documents in pairs are read into sets."""
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, own): the full sets, as bytes, of the documents asked for; only their texts are read into sets."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_set(t or "").tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["id", "own"])
 
+    return stored(docs.join(wanted.distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(to_sets, "id long, own binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("own_a"), batch.column("own_b"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            sides = zip(batch.column("own_a"), batch.column("own_b"), strict=True)
+            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in sides]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(to_sets, "id long, own binary"), "sets")
+    sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
     return met.select("a", "b", "own_a", "own_b").mapInArrow(compare, "a long, b long")
 
 
-def strays(large: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, slack: float, block: int = 256) -> DataFrame:
-    """Pairs between a large node's members outside its largest component and its other members, compared in blocks.
+def stray_links(large: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, slack: float, block: int = 128) -> DataFrame:
+    """Links between components among the members of large nodes, found by comparing blocks; pairs never become rows.
 
-    A node that is one component already needs no more: further links would not change a class.
+    Nodes of one component need no more. The others, joined where they share members, form clusters; what is outside a
+    cluster's main component, in blocks, meets all of the cluster's blocks, full sets included. Within a pair of blocks
+    the likeliest pairs are tested first, and a member needs one link to a component.
     """
     known = large.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("node", "id", F.coalesce("label", "id").alias("label"))
-    sizes = known.groupBy("node", "label").agg(F.count("*").alias("n"))
-    top = sizes.groupBy("node").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("node", F.col("top.label").alias("main"))
-    mixed_nodes = known.join(top, "node")
-    m = F.struct("id", F.col("n_shingles").alias("n"), "sketch", "label").alias("m")
-    held = mixed_nodes.join(reps.select("id", "n_shingles", "sketch"), "id").select("node", (F.col("label") != F.col("main")).alias("stray"), m)
-    salt = F.pmod(F.xxhash64("m.id"), F.lit(1 << 20))
-    blocks = held.withColumn("part", F.pmod(salt, F.lit(64))).groupBy("node", "part").agg(F.collect_list("m").alias("ms"))
-    outs = held.where("stray").select("node", F.col("m").alias("s"))
-    found = F.filter("ms", lambda x: (x["label"] != F.col("s.label")) & maybe(x, F.col("s"), percent, slack))
-    return outs.join(blocks, "node").select(F.col("s.id").alias("s_id"), F.explode(F.transform(found, lambda x: x["id"])).alias("x")).select(F.least("s_id", "x").alias("a"), F.greatest("s_id", "x").alias("b")).distinct()
+    spread = known.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("hub")).where("lo < hi").select("node", "hub")
+    opened = cut(known.join(spread, "node").select("hub", "id", "label"))
+    clusters = components(opened.select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    members = cut(clusters.select(F.col("node").alias("id"), F.col("label").alias("cluster")).join(opened.select("id", "label").distinct(), "id"))
+    sizes = members.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("top"))
+    sizes = sizes.select("cluster", "members", F.col("top.label").alias("main"))
+    m = F.struct("id", "label", F.col("n_shingles").alias("n"), "sketch", "own").alias("m")
+    held = members.join(sizes, "cluster").join(reps.select("id", "n_shingles", "sketch"), "id").join(full_sets(docs, members.select("id")), "id").select("cluster", (F.col("label") != F.col("main")).alias("stray"), F.ceil(F.col("members") / block).alias("parts"), m)
+    part = F.pmod(F.xxhash64("m.id"), F.col("parts")).alias("part")
+    right = held.select("cluster", part, "m").groupBy("cluster", "part").agg(F.collect_list("m").alias("right"))
+    left = held.where("stray").select("cluster", part, "m").groupBy("cluster", F.col("part").alias("left_part")).agg(F.collect_list("m").alias("left"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = cross_links(batch.column("left")[k].values, batch.column("right")[k].values, percent, slack)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    dealt = left.join(right, "cluster").select("left", "right")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def cross_links(left: pa.StructArray, right: pa.StructArray, percent: int, slack: float) -> list[tuple[int, int]]:
+    def columns(x: pa.StructArray) -> tuple:
+        rows = len(x)
+        return (x.field("id").to_numpy(), x.field("label").to_numpy(), x.field("n").to_numpy(), x.field("sketch").flatten().to_numpy().reshape(rows, POSITIONS), x.field("own"))
+
+    (ids, labels, sizes, prints, sets), (ids2, labels2, sizes2, prints2, sets2) = columns(left), columns(right)
+    own = [np.frombuffer(y.as_buffer(), np.uint64) for y in sets2]
+    found = []
+    for i in range(len(ids)):
+        same = (prints2 == prints[i]).sum(axis=1)
+        near = (labels2 != labels[i]) & (100 * np.minimum(sizes2, sizes[i]) >= percent * np.maximum(sizes2, sizes[i])) & (same >= POSITIONS * (percent / 100 - slack))
+        done, mine = set(), np.frombuffer(sets[i].as_buffer(), np.uint64)
+        for j in sorted(np.flatnonzero(near), key=lambda j: -same[j]):
+            if labels2[j] not in done and similar(mine, own[j], percent):
+                done.add(labels2[j])
+                found.append((int(min(ids[i], ids2[j])), int(max(ids[i], ids2[j]))))
+    return found
+
+
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
 
 
 def near_duplicates(
@@ -187,11 +225,14 @@ def near_duplicates(
     tested = cut(small_pairs(small, reps, percent, slack).union(pivot_pairs(large, reps, percent, slack)).distinct())
     links = cut(confirmed(tested, used, percent))
     labels = components(links)
-    rest = small_rest(small, labels, reps, percent, slack).union(strays(large, labels, reps, percent, slack)).distinct()
-    more = cut(rest.join(tested, ["a", "b"], "left_anti"))
+    more = cut(small_rest(small, labels, reps, percent, slack).join(tested, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = cut(links.union(confirmed(more, used, percent)))
         labels = components(links)
+    if not large.isEmpty():
+        more = cut(stray_links(large, labels, reps, used, percent, slack))
+        if not more.isEmpty():
+            labels = components(links.union(more))
     classes = reps.select("s1", "s2", "id").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("label", "id").alias("component_id"))
     out = known.select("id", "n_shingles", "s1", "s2").join(classes, (F.col("n_shingles") > 0) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
     real = lambda c: F.when(c != NO_ID, c)
