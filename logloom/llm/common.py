@@ -52,8 +52,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch: texts are long, and a worker, its JVM buffers included, holds a few batches at once.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers started from here import this package wherever the driver found it."""
+    """Lets Python workers started from here import this package wherever the driver found it, and bounds their batches."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -30,7 +30,7 @@ from .components import components
 from .shingles import mixed, shingle_hashes
 
 POSITIONS = 64
-STEP = 20_000
+STEP = 4096
 _rng = np.random.default_rng(77)
 MULTIPLY = (_rng.integers(0, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
 NO_ID = -(2**63)

@@ -120,7 +120,7 @@ def mix_slots(spark: SparkSession, plan: Sequence[dict], shards: int, seed: int)
     drawn = spark.createDataFrame(rows, "shard int, s int, first long, n long, blocks long")
     # runs of bounded length, dealt out evenly, before a row for each slot is made
     run = 4096
-    runs = drawn.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(run))).alias("at")).repartition(F.col("shard"), F.col("s"), F.col("at"))
+    runs = drawn.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(run))).alias("at")).repartition(max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard", "s", "at")
     each = runs.select("shard", "s", "blocks", "first", F.explode(F.sequence(F.col("at"), F.least(F.col("n"), F.col("at") + run) - 1)).alias("slot"))
     turn = F.col("first") + F.col("slot")
     pass_no = F.floor(turn / F.col("blocks"))
@@ -146,4 +146,5 @@ def mix(
     block_of = documents.where("size > 0").select("id", "t", "s", "start", "size", F.explode(F.sequence(first, end)).alias("block"))
     lo, hi = F.greatest("start", F.col("block") * block_words), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
     blocks = block_of.select("s", "block", "id", "t", "start", (lo - F.col("start")).alias("word_from"), (hi - lo).alias("n_words"))
-    return documents, mix_slots(spark, plan, shards, seed).join(blocks, ["s", "block"])
+    # both sides grow with the corpus, though the planner's estimate of the slots is small: never broadcast them
+    return documents, mix_slots(spark, plan, shards, seed).join(blocks.hint("merge"), ["s", "block"])

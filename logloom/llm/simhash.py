@@ -29,7 +29,7 @@ BITS = 64 * LANES
 #: Which bits each byte value sets.
 SET_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 OFFSETS = np.arange(8 * LANES, dtype=np.int64) * 256
-STEP = 50_000
+STEP = 8192
 
 
 def fingerprint(text: str) -> np.ndarray:
