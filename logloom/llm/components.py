@@ -24,3 +24,14 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
         if moved.where("changed").isEmpty():
             return labels
+
+
+def relabelled(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """The labels after more edges (a, b): the edges join whole components, so only a graph of labels is searched."""
+    name = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    ends = cut(more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    moved = components(ends).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    old = labels.join(moved, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    # members that had no link before are labels of their own
+    fresh = moved.join(labels, moved["label"] == labels["node"], "left_anti").select(F.col("label").alias("node"), F.col("new").alias("label"))
+    return old.union(fresh)

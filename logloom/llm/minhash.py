@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, pick, ship, stored
-from .components import components
+from .components import components, relabelled
 from .shingles import mixed, shingle_hashes
 
 POSITIONS = 64
@@ -158,15 +158,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def stray_links(large: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, slack: float, block: int = 128) -> DataFrame:
     """Links between components among the members of large nodes, found by comparing blocks; pairs never become rows.
 
-    Nodes of one component need no more. The others, joined where they share members, form clusters; what is outside a
-    cluster's main component, in blocks, meets all of the cluster's blocks, full sets included. Within a pair of blocks
-    the likeliest pairs are tested first, and a member needs one link to a component.
+    Nodes of one component need no more. Of the others, those that share members with a small hub form a cluster, which
+    holds each of its nodes whole; what is outside a cluster's main component, in blocks, meets all of its blocks, full
+    sets included. Within a pair of blocks the likeliest pairs come first, and a member needs one link to a component.
     """
     known = large.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("node", "id", F.coalesce("label", "id").alias("label"))
     spread = known.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("hub")).where("lo < hi").select("node", "hub")
-    opened = cut(known.join(spread, "node").select("hub", "id", "label"))
-    clusters = components(opened.select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    members = cut(clusters.select(F.col("node").alias("id"), F.col("label").alias("cluster")).join(opened.select("id", "label").distinct(), "id"))
+    opened = cut(known.join(spread, "node").select("node", "hub", "id", "label"))
+    nearest = opened.groupBy("id").agg(F.min("hub").alias("near"))
+    cluster = opened.join(nearest, "id").groupBy("node").agg(F.min("near").alias("cluster"))
+    members = cut(opened.join(cluster, "node").select("cluster", "id", "label").distinct())
     sizes = members.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("top"))
     sizes = sizes.select("cluster", "members", F.col("top.label").alias("main"))
     m = F.struct("id", "label", F.col("n_shingles").alias("n"), "sketch", "own").alias("m")
@@ -223,16 +224,10 @@ def near_duplicates(
     reps = stored(sets.groupBy("s1", "s2").agg(F.min(F.struct("id", "n_shingles", "sketch")).alias("m")).select("s1", "s2", "m.*"), "reps")
     small, large = tree_nodes(reps, trees, leaf, depth)
     tested = cut(small_pairs(small, reps, percent, slack).union(pivot_pairs(large, reps, percent, slack)).distinct())
-    links = cut(confirmed(tested, used, percent))
-    labels = components(links)
-    more = cut(small_rest(small, labels, reps, percent, slack).join(tested, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = cut(links.union(confirmed(more, used, percent)))
-        labels = components(links)
-    if not large.isEmpty():
-        more = cut(stray_links(large, labels, reps, used, percent, slack))
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    labels = components(confirmed(tested, used, percent))
+    rest = small_rest(small, labels, reps, percent, slack).join(tested, ["a", "b"], "left_anti")
+    more = confirmed(cut(rest), used, percent).union(stray_links(large, labels, reps, used, percent, slack))
+    labels = relabelled(labels, more)
     classes = reps.select("s1", "s2", "id").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("label", "id").alias("component_id"))
     out = known.select("id", "n_shingles", "s1", "s2").join(classes, (F.col("n_shingles") > 0) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
     real = lambda c: F.when(c != NO_ID, c)
