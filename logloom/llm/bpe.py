@@ -31,7 +31,7 @@ from .common import pick, ship
 #: Fixed value: the pre-splitting pattern of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bounds of what a worker remembers: words, and looked-up transitions.
-CACHE_WORDS, CACHE_MOVES = 300_000, 500_000
+CACHE_WORDS, CACHE_MOVES = 150_000, 250_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -41,15 +41,24 @@ def byte_chars() -> dict[str, int]:
     return {chr(b) if b in plain else chr(next(rest)): b for b in range(256)}
 
 
+def labels(vocab: dict[str, int], added: dict[str, int] | None = None) -> list[bytes]:
+    """What each id's arc spells."""
+    to_byte = byte_chars()
+    out = [b""] * (max([*vocab.values(), *(added or {}).values()]) + 1)
+    for token, i in vocab.items():
+        out[i] = bytes(map(to_byte.__getitem__, token)) if all(c in to_byte for c in token) else token.encode()
+    for text, i in (added or {}).items():
+        out[i] = text.encode()
+    return out
+
+
 class Automaton:
     """Compiled from {token string: id} and merges in order of priority."""
 
     def __init__(self, vocab: dict[str, int], merges: Sequence[tuple[str, str]]) -> None:
         to_byte = byte_chars()
-        size = max(vocab.values()) + 1
-        self.label = [b""] * size
-        for token, i in vocab.items():
-            self.label[i] = bytes(map(to_byte.__getitem__, token)) if all(c in to_byte for c in token) else token.encode()
+        self.label = labels(vocab)
+        size = len(self.label)
         self.left, self.born, self.leads = [0] * size, [-1] * size, [0] * size
         self.origin, self.removed, self.split_at = [0], [-1], [0]
         for char in to_byte:
@@ -163,9 +172,6 @@ class Codec:
         self.findall = regex.compile(SPLIT, regex.V1).findall
         self.added = told["added"]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        for text, i in self.added.items():
-            self.automaton.label += [b""] * (i + 1 - len(self.automaton.label))
-            self.automaton.label[i] = text.encode()
 
     def ids(self, text: str) -> list[int]:
         get = self.words.__getitem__
@@ -178,16 +184,29 @@ class Codec:
                 out.append(self.added[specials[k]])
         return out
 
-    def text(self, ids: Sequence[int]) -> str:
-        return b"".join(map(self.automaton.label.__getitem__, ids)).decode("utf-8", "replace")
+    def forget(self) -> None:
+        """A worker that waits for its next task holds the tables only."""
+        self.words.clear()
+        self.automaton.moves.clear()
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(spec: str) -> Codec:
     """A worker compiles a vocabulary once."""
     return Codec(spec)
 
 
+@lru_cache(maxsize=1)
+def arc_labels(spec: str) -> list[bytes]:
+    told = json.loads(spec)
+    return labels(told["vocab"], told["added"])
+
+
+def spell(ids: Sequence[int], own: Sequence[bytes]) -> str:
+    """The text of the labels on a path of ids."""
+    return b"".join(map(own.__getitem__, ids)).decode("utf-8", "replace")
+
+
 def load_vocabulary(path: str) -> str:
     """Vocabulary, merges and plain added tokens of a tokenizer file, as JSON; read by the driver, broadcast by Spark."""
     with open(path, encoding="utf-8") as f:
@@ -217,6 +236,7 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", carry: S
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *lists])))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], ids], names=[*carry, ids_col])
+        own.forget()
 
     used = pick(docs, [*carry, text_col])
     schema = T.StructType([*[used.schema[c] for c in carry], T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
@@ -243,11 +263,11 @@ def decode(encoded: DataFrame, vocabulary: str, *, ids_col: str = "ids", carry:
     carry = list(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(held.value)
+        own = arc_labels(held.value)
         for batch in batches:
             column = batch.column(ids_col)
             flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            texts = [own.text(flat[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            texts = [spell(flat[a:b].tolist(), own) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(texts, pa.string())], names=[*carry, text_col])
 
     used = pick(encoded, [*dict.fromkeys([*carry, ids_col])])
