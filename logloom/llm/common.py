@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -45,6 +46,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle and checkpoint files that no frame refers to; long iterations would hold all of them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame as Parquet below the shared folder and reads it back; for frames too large for checkpoint()."""
     path = scratch(df.sparkSession, name)

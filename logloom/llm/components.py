@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
         moved = cut(hooked.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("label"), (F.least("new", F.coalesce("far", "new")) != F.col("label")).alias("changed")))
         labels = moved.select("node", "label")
+        release(edges.sparkSession)
         if moved.where("changed").isEmpty():
             return labels
 

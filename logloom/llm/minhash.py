@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, ship, stored
+from .common import cut, pick, release, ship, stored
 from .components import components, relabelled
 from .shingles import mixed, shingle_hashes
 
@@ -93,6 +93,7 @@ def tree_nodes(reps: DataFrame, trees: int, leaf: int, depth: int) -> tuple[Data
         fits = level.where(F.col("members") <= leaf).select("node", "id")
         small = fits if small is None else small.unionByName(fits)
         large = level.where(F.col("members") > leaf).select("node", "id")
+        release(reps.sparkSession)
         if k + 1 < depth:
             level = large.join(reps.select("id", "sketch"), "id").select("id", branch(F.col("node")).alias("node"))
     return small, large
@@ -224,7 +225,8 @@ def near_duplicates(
     reps = stored(sets.groupBy("s1", "s2").agg(F.min(F.struct("id", "n_shingles", "sketch")).alias("m")).select("s1", "s2", "m.*"), "reps")
     small, large = tree_nodes(reps, trees, leaf, depth)
     tested = cut(small_pairs(small, reps, percent, slack).union(pivot_pairs(large, reps, percent, slack)).distinct())
-    labels = components(confirmed(tested, used, percent))
+    release(docs.sparkSession)
+    labels = components(cut(confirmed(tested, used, percent)))
     rest = small_rest(small, labels, reps, percent, slack).join(tested, ["a", "b"], "left_anti")
     more = confirmed(cut(rest), used, percent).union(stray_links(large, labels, reps, used, percent, slack))
     labels = relabelled(labels, more)
