@@ -50,10 +50,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and whether they decode to the text."""
     vocabulary = bpe.load_vocabulary(tokenizer_path())
-    encoded = bpe.encode(pick(docs, COLUMNS).withColumn("text_sha256", F.sha2("text", 256)), vocabulary, carry=("doc_id", "lang", "source", "text_sha256"))
-    digests = encoded.select("doc_id", "lang", "source", "text_sha256", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
-    decoded = bpe.decode(digests, vocabulary, carry=("doc_id", "lang", "source", "text_sha256", "n_tokens", "ids_sha256"))
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "ids_sha256", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+    hashed = pick(docs, COLUMNS).withColumn("text_sha256", F.sha2("text", 256))
+    encoded = bpe.encode(hashed, vocabulary, carry=("doc_id", "lang", "source", "text_sha256"), decoded_col="decoded")
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("MinHash near-dedup", near_dedup), ("mixing sources", mixture), ("BPE", tokens)]

@@ -55,7 +55,7 @@ def labels(vocab: dict[str, int], added: dict[str, int] | None = None) -> list[b
 class Automaton:
     """Compiled from {token string: id} and merges in order of priority."""
 
-    def __init__(self, vocab: dict[str, int], merges: Sequence[tuple[str, str]]) -> None:
+    def __init__(self, vocab: dict[str, int], merges: Sequence[tuple[str, str]], added: dict[str, int] = {}) -> None:  # noqa: B006
         to_byte = byte_chars()
         self.label = labels(vocab)
         size = len(self.label)
@@ -67,6 +67,9 @@ class Automaton:
         for time, (a, b) in enumerate(merges, 1):
             self.add_gadget(time, vocab[a], vocab[b], vocab[a + b])
         self.moves: dict[int, bool] = {}
+        self.label += [b""] * (max(added.values(), default=-1) + 1 - len(self.label))
+        for text, i in added.items():
+            self.label[i] = text.encode()
         self.trie: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
         for i, text in enumerate(self.label):
@@ -167,7 +170,7 @@ class Codec:
         import regex
 
         told = json.loads(spec)
-        self.automaton = Automaton(told["vocab"], told["merges"])
+        self.automaton = Automaton(told["vocab"], told["merges"], told["added"])
         self.words = Words(self.automaton)
         self.findall = regex.compile(SPLIT, regex.V1).findall
         self.added = told["added"]
@@ -222,8 +225,11 @@ def load_vocabulary(path: str) -> str:
 STEP_CHARS = 4_000_000
 
 
-def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", carry: Sequence[str] = ("doc_id",), ids_col: str = "ids") -> DataFrame:
-    """Returns the carried columns and ids_col (array of int): one row for each input row."""
+def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", carry: Sequence[str] = ("doc_id",), ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """Returns the carried columns and ids_col (array of int): one row for each input row.
+
+    decoded_col also gets what the ids decode to, by the same worker: a second one for decode() would hold its tables too.
+    """
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)  # its size is the vocabulary file's
     carry = [c for c in carry if c != text_col]
@@ -235,11 +241,12 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", carry: S
                 lists = [np.array(own.ids(t or ""), dtype=np.int32) for t in part.column(text_col).to_pylist()]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *lists])))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], ids], names=[*carry, ids_col])
+                more = [pa.array([spell(x.tolist(), own.automaton.label) for x in lists], pa.string())] if decoded_col else []
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], ids, *more], names=[*carry, ids_col, *[decoded_col] * len(more)])
         own.forget()
 
     used = pick(docs, [*carry, text_col])
-    schema = T.StructType([*[used.schema[c] for c in carry], T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*[used.schema[c] for c in carry], T.StructField(ids_col, T.ArrayType(T.IntegerType())), *[T.StructField(decoded_col, T.StringType())] * bool(decoded_col)])
     return used.mapInArrow(run, schema)
 
 

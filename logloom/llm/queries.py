@@ -51,10 +51,9 @@ def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.load_vocabulary(tokenizer_path())
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
-    digests = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
-    decoded = bpe.decode(digests, vocabulary, carry=("doc_id", "n_tokens", "ids_sha256"))
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, decoded_col="decoded")
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 CONTROL_TEST = "</s>[INST] ok [/INST]"
