@@ -57,7 +57,7 @@ class Automaton:
 
     def __init__(self, vocab: dict[str, int], merges: Sequence[tuple[str, str]], added: dict[str, int] = {}) -> None:  # noqa: B006
         to_byte = byte_chars()
-        self.label = labels(vocab)
+        self.label = labels(vocab, added)
         size = len(self.label)
         self.left, self.born, self.leads = [0] * size, [-1] * size, [0] * size
         self.origin, self.removed, self.split_at = [0], [-1], [0]
@@ -67,9 +67,6 @@ class Automaton:
         for time, (a, b) in enumerate(merges, 1):
             self.add_gadget(time, vocab[a], vocab[b], vocab[a + b])
         self.moves: dict[int, bool] = {}
-        self.label += [b""] * (max(added.values(), default=-1) + 1 - len(self.label))
-        for text, i in added.items():
-            self.label[i] = text.encode()
         self.trie: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
         for i, text in enumerate(self.label):
