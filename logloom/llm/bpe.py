@@ -243,7 +243,7 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", carry: S
         own.forget()
 
     used = pick(docs, [*carry, text_col])
-    schema = T.StructType([*[used.schema[c] for c in carry], T.StructField(ids_col, T.ArrayType(T.IntegerType())), *[T.StructField(decoded_col, T.StringType())] * bool(decoded_col)])
+    schema = T.StructType([*[used.schema[c] for c in carry], T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])])
     return used.mapInArrow(run, schema)
 
 
