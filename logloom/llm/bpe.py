@@ -184,11 +184,6 @@ class Codec:
                 out.append(self.added[specials[k]])
         return out
 
-    def forget(self) -> None:
-        """A worker that waits for its next task holds the tables only."""
-        self.words.clear()
-        self.automaton.moves.clear()
-
 
 @lru_cache(maxsize=1)
 def codec(spec: str) -> Codec:
@@ -240,7 +235,6 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", carry: S
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *lists])))
                 more = [pa.array([spell(x.tolist(), own.automaton.label) for x in lists], pa.string())] if decoded_col else []
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], ids, *more], names=[*carry, ids_col, *[decoded_col] * len(more)])
-        own.forget()
 
     used = pick(docs, [*carry, text_col])
     schema = T.StructType([*[used.schema[c] for c in carry], T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])])
