@@ -10,13 +10,16 @@ A word's encoding is the one path whose labels spell it: matches of the vocabula
 by a table lookup, with dead (position, state) pairs remembered. Decoding emits the labels of the arcs.
 
 Defined cases: a null text counts as empty and has no tokens; the strings of added tokens in a text become those tokens,
-as the library does; bytes that are no UTF-8 decode to U+FFFD. Rows are independent, so repeated rows and ties get equal
+as the library does; bytes that are no UTF-8 decode to U+FFFD; letters newer than the library's Unicode tables split words
+as it splits them. Rows are independent, so repeated rows and ties get equal
 results; carried columns pass through. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import sys
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
@@ -146,14 +149,31 @@ class Automaton:
         return found
 
 
+def doubtful_letters() -> str:
+    """Letters and digits of the splitting pattern's Unicode tables that older tables leave unassigned."""
+    import unicodedata
+
+    import regex
+
+    every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+    return "".join(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
+
+
+class Doubtful(Exception):
+    """A word holds a code point whose class depends on the version of the Unicode tables."""
+
+
 class Words(dict):
     """Ids of the words met so far; emptied when full, so its memory is bounded."""
 
     def __init__(self, automaton: Automaton) -> None:
         super().__init__()
         self.automaton = automaton
+        self.doubtful = re.compile(f"[{re.escape(doubtful_letters() or chr(0xFFFF))}]").search
 
     def __missing__(self, word: str) -> tuple[int, ...]:
+        if not word.isascii() and self.doubtful(word):
+            raise Doubtful
         ids = tuple(self.automaton.encode_word(word.encode("utf-8", "surrogatepass")))
         if len(word) <= 64:
             if len(self) >= CACHE_WORDS:
@@ -174,16 +194,26 @@ class Codec:
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
     def ids(self, text: str) -> list[int]:
-        get = self.words.__getitem__
         if self.cut is None or not (specials := self.cut.findall(text)):
-            return list(chain.from_iterable(map(get, self.findall(text))))
+            return self.plain_ids(text)
         out: list[int] = []
         for k, piece in enumerate(self.cut.split(text)):
-            out += chain.from_iterable(map(get, self.findall(piece)))
+            out += self.plain_ids(piece)
             if k < len(specials):
                 out.append(self.added[specials[k]])
         return out
 
+    def plain_ids(self, text: str) -> list[int]:
+        """Ids of a text without added tokens. Doubtful texts are split by the library's own tables."""
+        try:
+            return list(chain.from_iterable(map(self.words.__getitem__, self.findall(text))))
+        except Doubtful:
+            from tokenizers.pre_tokenizers import ByteLevel
+
+            to_byte = byte_chars()
+            split = ByteLevel(add_prefix_space=False).pre_tokenize_str(text)
+            return list(chain.from_iterable(self.automaton.encode_word(bytes(map(to_byte.__getitem__, w))) for w, _ in split))
+
 
 @lru_cache(maxsize=1)
 def codec(spec: str) -> Codec:

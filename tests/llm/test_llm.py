@@ -101,6 +101,8 @@ def test_bpe_equals_library(spark, vocabulary):
     rng = random.Random(1)
     pool = [*map(chr, range(0x250)), "<|endoftext|>", "  ", "the", "aaaa", "'s", "🙂", "漢"]
     texts = [*ODD, *["".join(rng.choice(pool) for _ in range(40)) for _ in range(300)], *["".join(rng.choice("ab eth") for _ in range(80)) for _ in range(200)]]
+    newer = "\u0558\u208f\ua7ce\U00010940\U000323b0\U0003d000\U00010d40"  # letters and digits of recent or coming Unicode versions
+    texts += ["".join(rng.choice("ab 1é!<|endoftext|>" + newer) for _ in range(30)) for _ in range(100)]
     got = {r.doc_id: (r.ids, r.out) for r in bpe.encode(docs(spark, *texts), vocabulary, decoded_col="out").collect()}
     again = {r.doc_id: r.decoded for r in bpe.decode(bpe.encode(docs(spark, *texts), vocabulary), vocabulary).collect()}
     for i, t in enumerate(texts):
