@@ -18,7 +18,6 @@ results; carried columns pass through. An empty table gives an empty result.
 from __future__ import annotations
 
 import json
-import re
 import sys
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -169,10 +168,10 @@ class Words(dict):
     def __init__(self, automaton: Automaton) -> None:
         super().__init__()
         self.automaton = automaton
-        self.doubtful = re.compile(f"[{re.escape(doubtful_letters() or chr(0xFFFF))}]").search
+        self.doubtful = frozenset(doubtful_letters())
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if not word.isascii() and self.doubtful(word):
+        if not (word.isascii() or self.doubtful.isdisjoint(word)):
             raise Doubtful
         ids = tuple(self.automaton.encode_word(word.encode("utf-8", "surrogatepass")))
         if len(word) <= 64:
@@ -212,7 +211,13 @@ class Codec:
 
             to_byte = byte_chars()
             split = ByteLevel(add_prefix_space=False).pre_tokenize_str(text)
-            return list(chain.from_iterable(self.automaton.encode_word(bytes(map(to_byte.__getitem__, w))) for w, _ in split))
+            return list(chain.from_iterable(self.word_ids(bytes(map(to_byte.__getitem__, w))) for w, _ in split))
+
+    def word_ids(self, word: bytes) -> Sequence[int]:
+        try:
+            return self.words[word.decode()]
+        except Doubtful:
+            return self.automaton.encode_word(word)
 
 
 @lru_cache(maxsize=1)
