@@ -32,7 +32,7 @@ from .common import pick, ship
 
 #: Fixed value: the pre-splitting pattern of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bounds of what a worker remembers: words, and looked-up transitions.
+#: Bounds of what a worker remembers: words of a generation, and looked-up transitions.
 CACHE_WORDS, CACHE_MOVES = 150_000, 250_000
 
 
@@ -163,19 +163,24 @@ class Doubtful(Exception):
 
 
 class Words(dict):
-    """Ids of the words met so far; emptied when full, so its memory is bounded."""
+    """Ids of the words met lately, in two generations: when the young one is full, it becomes the old one. So memory is bounded and frequent words stay."""
 
     def __init__(self, automaton: Automaton) -> None:
         super().__init__()
         self.automaton = automaton
+        self.older: dict[str, tuple[int, ...]] = {}
         self.doubtful = frozenset(doubtful_letters())
 
     def __missing__(self, word: str) -> tuple[int, ...]:
+        if (known := self.older.get(word)) is not None:
+            self[word] = known
+            return known
         if not (word.isascii() or self.doubtful.isdisjoint(word)):
             raise Doubtful
         ids = tuple(self.automaton.encode_word(word.encode("utf-8", "surrogatepass")))
         if len(word) <= 64:
             if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
