@@ -32,8 +32,8 @@ from .common import pick, ship
 
 #: Fixed value: the pre-splitting pattern of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bounds of what a worker remembers: words of a generation, and looked-up transitions.
-CACHE_WORDS, CACHE_MOVES = 150_000, 250_000
+#: Bounds of what a worker remembers: code points and ids of a generation's words together, and looked-up transitions.
+CACHE_UNITS, CACHE_MOVES = 600_000, 250_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -169,20 +169,21 @@ class Words(dict):
         super().__init__()
         self.automaton = automaton
         self.older: dict[str, tuple[int, ...]] = {}
+        self.units = 0
         self.doubtful = frozenset(doubtful_letters())
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if (known := self.older.get(word)) is not None:
-            self[word] = known
-            return known
-        if not (word.isascii() or self.doubtful.isdisjoint(word)):
-            raise Doubtful
-        ids = tuple(self.automaton.encode_word(word.encode("utf-8", "surrogatepass")))
+        if (ids := self.older.get(word)) is None:
+            if not (word.isascii() or self.doubtful.isdisjoint(word)):
+                raise Doubtful
+            ids = tuple(self.automaton.encode_word(word.encode("utf-8", "surrogatepass")))
         if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
+            if self.units >= CACHE_UNITS:
                 self.older = dict(self)
                 self.clear()
+                self.units = 0
             self[word] = ids
+            self.units += len(word) + len(ids)
         return ids
 
 
