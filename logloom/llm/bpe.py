@@ -33,7 +33,7 @@ from .common import pick, ship
 #: Fixed value: the pre-splitting pattern of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bounds of what a worker remembers: code points and ids of a generation's words together, and looked-up transitions.
-CACHE_UNITS, CACHE_MOVES = 600_000, 250_000
+CACHE_UNITS, CACHE_MOVES = 1_200_000, 250_000
 
 
 def byte_chars() -> dict[str, int]:
