@@ -34,6 +34,8 @@ from .common import pick, ship
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bounds of what a worker remembers: code points and ids of a generation's words together, and looked-up transitions.
 CACHE_UNITS, CACHE_MOVES = 1_200_000, 250_000
+#: The key of a trie node's longest token; no byte has it.
+LONGEST = 256
 
 
 def byte_chars() -> dict[str, int]:
@@ -69,18 +71,25 @@ class Automaton:
         for time, (a, b) in enumerate(merges, 1):
             self.add_gadget(time, vocab[a], vocab[b], vocab[a + b])
         self.moves: dict[int, bool] = {}
-        self.trie: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
-        for i, text in enumerate(self.label):
-            if self.born[i] >= 0:
-                node = 0
-                for byte in text:
-                    if byte not in self.trie[node]:
-                        self.trie[node][byte] = len(self.trie)
-                        self.trie.append({})
-                        self.ends.append(-1)
-                    node = self.trie[node][byte]
-                self.ends[node] = i
+        self.sizes = [len(x) for x in self.label]
+        self.root, self.shorter = self.prefix_trie()
+
+    def prefix_trie(self) -> tuple[dict, list[int]]:
+        """The trie of the tokens that words can hold, and for each token the longest one that it begins with (-1: none).
+
+        A node maps bytes to nodes and LONGEST to the longest token on the way to it.
+        """
+        root: dict = {LONGEST: -1}
+        shorter = [-1] * len(self.label)
+        for i in sorted((i for i, born in enumerate(self.born) if born >= 0), key=self.sizes.__getitem__):
+            node = root
+            for byte in self.label[i]:
+                if (after := node.get(byte)) is None:
+                    after = node[byte] = {LONGEST: node[LONGEST]}
+                node = after
+            shorter[i] = node[LONGEST]
+            node[LONGEST] = i
+        return root, shorter
 
     def add_gadget(self, time: int, u: int, v: int, w: int) -> None:
         if self.born[w] >= 0 or not self.allowed(self.leads[u], v):
@@ -107,45 +116,42 @@ class Automaton:
 
     def encode_word(self, word: bytes) -> list[int]:
         """The ids on the only path that spells the word."""
-        n, leads, label, moves = len(word), self.leads, self.label, self.moves
+        n, leads, sizes, shorter, moves = len(word), self.leads, self.sizes, self.shorter, self.moves
         if len(moves) > CACHE_MOVES:
             moves.clear()
         path: list[int] = []
-        at, dead = [0], set()
-        stack = [self.matches(word, 0)]
-        while at[-1] < n:
-            here, state, options = at[-1], leads[path[-1]] if path else 0, stack[-1]
-            while options:
-                token = options.pop()
-                if (key := state << 20 | token) not in moves:
-                    moves[key] = self.allowed(state, token)
-                if not moves[key]:
-                    continue
-                end = here + len(label[token])
-                if not dead or (end, leads[token]) not in dead:
-                    path.append(token)
-                    at.append(end)
-                    stack.append(self.matches(word, end))
+        here, state, dead = 0, 0, set()
+        while here < n:
+            token = self.longest(word, here)
+            while True:
+                while token >= 0:
+                    if (goes := moves.get(key := state << 20 | token)) is None:
+                        goes = moves[key] = self.allowed(state, token)
+                    if goes and not (dead and (here + sizes[token], leads[token]) in dead):
+                        break
+                    token = shorter[token]
+                if token >= 0:
                     break
-            else:
                 if not path:
                     raise ValueError("the vocabulary lacks a byte of this word")
                 dead.add((here, state))
-                path.pop()
-                at.pop()
-                stack.pop()
+                token = path.pop()
+                here -= sizes[token]
+                state = leads[path[-1]] if path else 0
+                token = shorter[token]
+            path.append(token)
+            here += sizes[token]
+            state = leads[token]
         return path
 
-    def matches(self, word: bytes, at: int) -> list[int]:
-        """Tokens that begin at a position, the longest last."""
-        found, node, trie, ends = [], 0, self.trie, self.ends
-        for k in range(at, len(word)):
-            node = trie[node].get(word[k], -1)
-            if node < 0:
+    def longest(self, word: bytes, at: int) -> int:
+        """The longest token that the word has at a position, or -1."""
+        node = self.root
+        for byte in word[at:] if at else word:
+            if (after := node.get(byte)) is None:
                 break
-            if ends[node] >= 0:
-                found.append(ends[node])
-        return found
+            node = after
+        return node[LONGEST]
 
 
 def doubtful_letters() -> str:
