@@ -234,7 +234,7 @@ class Codec:
 
 @lru_cache(maxsize=1)
 def codec(spec: str) -> Codec:
-    """A worker compiles a vocabulary once."""
+    """A task compiles a vocabulary once."""
     return Codec(spec)
 
 
@@ -275,13 +275,16 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", carry: S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(held.value)
-        for batch in batches:
-            for part in steps(batch, text_col):
-                lists = [np.array(own.ids(t or ""), dtype=np.int32) for t in part.column(text_col).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *lists])))
-                more = [pa.array([spell(x.tolist(), own.automaton.label) for x in lists], pa.string())] if decoded_col else []
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], ids, *more], names=[*carry, ids_col, *[decoded_col] * len(more)])
+        try:
+            for batch in batches:
+                for part in steps(batch, text_col):
+                    lists = [np.array(own.ids(t or ""), dtype=np.int32) for t in part.column(text_col).to_pylist()]
+                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *lists])))
+                    more = [pa.array([spell(x.tolist(), own.automaton.label) for x in lists], pa.string())] if decoded_col else []
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], ids, *more], names=[*carry, ids_col, *[decoded_col] * len(more)])
+        finally:
+            codec.cache_clear()  # a worker that waits holds no tables: other stages need the memory
 
     used = pick(docs, [*carry, text_col])
     schema = T.StructType([*[used.schema[c] for c in carry], T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])])
