@@ -28,9 +28,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies, Jaccard 0.8 or more, stays."""
     docs = pick(docs, COLUMNS)
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    gone = minhash.near_duplicates(docs, percent=80).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

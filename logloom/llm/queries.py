@@ -85,7 +85,7 @@ def op8_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op10_block_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -293,3 +293,15 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
         if k == 2:
             assert {r.doc_id for r in df.collect()} == set(range(20))
     assert all(r.round_trip for r in df.collect())
+
+
+def test_pipeline_links_near_copies_of_four_fifths(spark, tmp_path):
+    import corpus_pipeline
+
+    base = vocab(300, 77)
+    copy = [f"{w}x" if k % 50 == 25 else w for k, w in enumerate(base)]  # six scattered edits
+    a, b = (set(shingle_hashes(" ".join(x)).tolist()) for x in (base, copy))
+    assert 0.80 < len(a & b) / len(a | b) < 0.85
+    near = docs(spark, " ".join(base), " ".join(copy), " ".join(vocab(300, 78)))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, near, str(tmp_path)).collect()) == [0, 2]
+    assert all(r.kept for r in minhash.near_duplicates(near, percent=85).collect())
