@@ -1,10 +1,11 @@
-"""What Python workers need of the driver."""
+"""What Python workers need of the driver, and frames that are made once."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def importable(spark: SparkSession) -> None:
@@ -13,3 +14,11 @@ def importable(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+
+
+def kept_once(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder, spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logloom-"))
+    return df.checkpoint(eager=True)

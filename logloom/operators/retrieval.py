@@ -2,38 +2,43 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, terms, tokens
-from ..functions.workers import importable
+from ..functions.workers import kept_once
 
 K1, B, RRF_K, MMR = 1.2, 0.75, 60, 0.7
 
 
-def term_frequencies(corpus: DataFrame, ref: str, text: str) -> DataFrame:
-    """(ref, term, tf)."""
-    return corpus.select(ref, F.explode(tokens(F.col(text))).alias("term")).groupBy(ref, "term").agg(F.count("*").alias("tf"))
+def term_frequencies(corpus: DataFrame, ref: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(ref, term, tf), of the wanted terms if they are given."""
+    each = corpus.select(ref, F.explode(tokens(F.col(text))).alias("term"))
+    return (each if wanted is None else each.join(F.broadcast(wanted), "term")).groupBy(ref, "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, ref: str, text: str, query: str, query_text: str) -> DataFrame:
     """(query, ref, score, rank) of every positive score; queries count each term once; ranks by (score to 9 digits desc, ref)."""
-    asked = queries.select(query, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
+    asked = queries.select(query, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")).distinct()
     lengths = corpus.select(ref, F.size(tokens(F.col(text))).cast("double").alias("len"))
     facts = lengths.agg(F.count("*").cast("double").alias("n_docs"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len"))
-    # only terms that a query asks for are counted; the asked terms are few beside the corpus, AQE sees their size
-    tf = term_frequencies(corpus, ref, text).join(asked.select("term").distinct(), "term")
+    # only terms that a query asks for are counted, and dealt out; the asked terms are few beside the corpus
+    tf = term_frequencies(corpus, ref, text, asked.select("term").distinct())
     df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     part = F.ln(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1.0 - B + B * F.col("len") / F.col("avg_len")))
-    scored = asked.join(tf, "term").join(df, "term").join(lengths, ref).join(F.broadcast(facts)).groupBy(query, ref).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    weighed = tf.join(F.broadcast(df), "term").join(lengths, ref).join(F.broadcast(facts)).select(ref, "term", part.alias("part"))
+    scored = weighed.join(F.broadcast(asked), "term").groupBy(query, ref).agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc(), ref)))
 
 
+def fuse_scores(rankings: DataFrame, by: list[str], ref: str, rank: str, source: str) -> DataFrame:
+    best = rankings.groupBy(*by, source, ref).agg(F.min(rank).alias("__r"))
+    return best.groupBy(*by, ref).agg(F.round(F.sum(1.0 / (RRF_K + F.col("__r"))), 9).alias("score"))
+
+
 def fuse(rankings: DataFrame, by: list[str], ref: str, rank: str = "rank", source: str = "source") -> DataFrame:
     """Reciprocal-rank fusion; a ref counts once in a ranking, at its best rank."""
-    best = rankings.groupBy(*by, source, ref).agg(F.min(rank).alias("__r"))
-    fused = best.groupBy(*by, ref).agg(F.round(F.sum(1.0 / (RRF_K + F.col("__r"))), 9).alias("score"))
+    fused = fuse_scores(rankings, by, ref, rank, source)
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), ref)))
 
 
@@ -48,29 +53,60 @@ def overlap_idf(corpus: DataFrame, queries: DataFrame, ref: str, text: str, quer
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc(), ref)))
 
 
+def distinct_rankings(rankings: DataFrame, query: str, ref: str, rank: str = "rank") -> DataFrame:
+    """Of queries with the same ranking only the smallest stays; a query without rows has no ranking."""
+    row = [F.xxhash64(rank, ref), F.xxhash64(F.lit("second"), rank, ref)]
+    names = rankings.groupBy(query).agg(F.count("*").alias("n"), *[F.bit_xor(h).alias(f"h{k}") for k, h in enumerate(row)])
+    return rankings.join(names.groupBy("n", "h0", "h1").agg(F.min(query).alias(query)).select(query), query, "left_semi")
+
+
+def fuse_whole(rankings: DataFrame, eligible: DataFrame, ref: str, query: str, rank: str = "rank") -> DataFrame:
+    """(ref, score, rank): reciprocal-rank fusion of complete rankings, equal ones once; without any, every eligible ref has score 1.
+
+    Ranks come from the sizes of score bands, at most some 10,000 of any corpus, and the order within a band.
+    """
+    fused = fuse_scores(distinct_rankings(rankings, query, ref, rank), [], ref, rank, query)
+    fused = fused.unionByName(eligible.select(ref, F.lit(1.0).alias("score")).distinct().join(F.broadcast(fused.select(F.lit(1).alias("any")).limit(1)), F.lit(True), "left_anti"))
+    banded = fused.withColumn("band", F.floor(F.ln(F.greatest("score", F.lit(1e-9))) * -800))
+    ahead = F.sum("n").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1))
+    before = banded.groupBy("band").agg(F.count("*").alias("n")).select("band", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    within = F.row_number().over(Window.partitionBy("band").orderBy(F.col("score").desc(), ref))
+    return banded.withColumn("within", within).join(F.broadcast(before), "band").select(ref, "score", (F.col("ahead") + F.col("within")).alias("rank"))
+
+
+def contenders(ranked: DataFrame, by: str, score: str, k: int, rank: str = "rank") -> DataFrame:
+    """The rows that mmr() can choose among its first k, all others being behind one of the k best in each round.
+
+    A likeness is at most 1, so that holds of what scores less than the k-th best by more than (1 - MMR) / MMR of the best.
+    """
+    w = Window.partitionBy(by)
+    kth = F.coalesce(F.max(F.when(F.col(rank) == k, F.col(score))).over(w), F.min(score).over(w))
+    return ranked.withColumn("__least", kth - F.max(score).over(w) * ((1 - MMR) / MMR + 1e-9)).where(F.col(score) >= F.col("__least")).drop("__least")
+
+
 def mmr(ranked: DataFrame, by: str, ref: str, score: str, term_col: str, same: str, k: int) -> DataFrame:
     """Greedy diverse choice of k: MMR * score / best - (1 - MMR) * the greatest likeness to what is chosen; equal `same` is likeness 1.
 
-    ranked holds a bounded list for each `by` (a top-n); each list is one group.
+    ranked may hold every scored ref. Each round is one aggregation; the choices so far, at most k for each `by`, are
+    joined to the candidates.
     """
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, ref], ascending=[False, True], kind="stable").reset_index(drop=True)
-        sets, top = [set(x) for x in pdf[term_col]], max(float(pdf[score].max()), 1e-12)
-        nearest, picked = [0.0] * len(pdf), []
-        while len(picked) < min(k, len(pdf)):
-            best = max((i for i in range(len(pdf)) if i not in picked), key=lambda i: (MMR * pdf[score][i] / top - (1 - MMR) * nearest[i], -i))
-            picked.append(best)
-            for i in range(len(pdf)):
-                like = 1.0 if pdf[same][i] == pdf[same][best] else len(sets[i] & sets[best]) / max(len(sets[i] | sets[best]), 1)
-                nearest[i] = max(nearest[i], like)
-        out = pdf.loc[picked, [by, ref]].reset_index(drop=True)
-        out["rank"] = range(1, len(out) + 1)
-        return out
-
-    importable(ranked.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in ranked.schema}
-    return ranked.groupBy(by).applyInPandas(choose, f"`{by}` {kinds[by]}, `{ref}` {kinds[ref]}, rank long")
-
-
-__all__ = ["bm25", "fuse", "jaccard", "mmr", "overlap_idf", "term_frequencies"]
+    left = kept_once(ranked.select(by, F.col(ref).alias("__ref"), F.col(score).alias("s"), F.col(same).alias("same"), F.col(term_col).alias("ts")))
+    top = left.groupBy(by).agg(F.greatest(F.max("s"), F.lit(1e-12)).alias("top"))
+    chosen = None
+    for _ in range(k):
+        met = left.join(top if chosen is None else chosen, by)
+        nearest, order = F.lit(0.0), [-F.col("s"), F.col("__ref")]
+        if chosen is not None:
+            nearest = F.array_max(F.transform("chosen", lambda c: F.when(F.col("same").eqNullSafe(c["same"]), 1.0).otherwise(jaccard(F.col("ts"), c["ts"]))))
+        order = F.struct((1 - MMR) * nearest - MMR * F.col("s") / F.col("top"), *order)
+        if chosen is not None:
+            order = F.when(~F.exists("chosen", lambda c: c["ref"] == F.col("__ref")), order)
+        best = F.min_by(F.struct(F.col("__ref").alias("ref"), "same", "ts"), order)
+        if chosen is None:
+            chosen = met.groupBy(by).agg(F.first("top").alias("top"), F.array(best).alias("chosen"))
+        else:
+            chosen = met.groupBy(by).agg(F.first("top").alias("top"), F.array_compact(F.concat(F.first("chosen"), F.array(best))).alias("chosen"))
+    return chosen.select(by, F.posexplode("chosen").alias("at", "c")).select(by, F.col("c.ref").alias(ref), (F.col("at") + 1).cast("long").alias("rank"))
+
+
+__all__ = ["bm25", "fuse", "fuse_whole", "jaccard", "mmr", "overlap_idf", "term_frequencies"]

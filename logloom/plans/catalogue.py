@@ -180,6 +180,12 @@ def rrf_fuse(spark, d):
     return retrieval.fuse(top, ["all"], "doc_id", source="item_id").select("doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query()
+def rrf_fuse_whole(spark, d):
+    """Complete rankings; rrf_fuse takes the first ten rows of each, as its SQL says."""
+    return retrieval.fuse_whole(_bm25(spark, d), A.load(spark, d, "documents"), "doc_id", "item_id")
+
+
 _T = "'[\\p{L}\\p{N}\\p{M}_./:-]{3,}'"
 
 
@@ -204,8 +210,9 @@ def clip_excerpt(spark, d):
 
 @query()
 def mmr_select(spark, d):
-    top = _bm25(spark, d).where("rank <= 20").join(A.load(spark, d, "documents").select("doc_id", "source", terms(F.col("text")).alias("ts")), "doc_id")
-    return retrieval.mmr(top.select("item_id", "doc_id", "score", "source", "ts"), "item_id", "doc_id", "score", "ts", "source", 5)
+    docs = A.load(spark, d, "documents").select("doc_id", "source", F.array_distinct(tokens(F.col("text"))).alias("ts"))
+    scored = retrieval.contenders(_bm25(spark, d), "item_id", "score", 5).select("item_id", "doc_id", "score")
+    return retrieval.mmr(scored.join(docs, "doc_id"), "item_id", "doc_id", "score", "ts", "source", 5)
 
 
 @query(ctes("answers") + "select question, option, rank from (select *, row_number() over (partition by question order by (option = choice) desc, p desc, option) as rank from answers) where rank <= 3")

@@ -116,3 +116,47 @@ def test_csv_sink(spark, tmp_path):
     df = spark.createDataFrame([(1, True, (5,))], "id int, ok boolean, prediction struct<step:int>")
     io.write_csv(df, str(tmp_path / "o"), ["id", "ok", "step", "none"])
     assert [tuple(r) for r in spark.read.option("header", "true").csv(str(tmp_path / "o")).collect()] == [("1", "True", "5", None)]
+
+
+def test_whole_rankings_are_fused(spark):
+    rankings = {"x": list(range(30)), "y": list(range(30)), "z": list(range(29, -1, -1))}  # x and y are one ranking
+    df = spark.createDataFrame([(q, r, k) for q, refs in rankings.items() for k, r in enumerate(refs, 1)], "q string, ref int, rank int")
+    want = {r: round(sum(1 / (60 + 1 + o.index(r)) for o in (rankings["x"], rankings["z"])), 9) for r in range(30)}
+    got = retrieval.fuse_whole(df, df, "ref", "q").orderBy("rank").collect()
+    assert [r.ref for r in got] == sorted(want, key=lambda r: (-want[r], r)) and [r.rank for r in got] == list(range(1, 31))
+    assert {r.ref: r.score for r in got} == pytest.approx(want, abs=1e-8)
+    assert {r.score for r in retrieval.fuse_whole(df.limit(0), df, "ref", "q").collect()} == {1.0}
+
+
+def greedy(rows, k):
+    """The reference's choice over every row (ref, score, same, terms)."""
+    left, chosen, top = list(rows), [], max(r[1] for r in rows)
+    while left and len(chosen) < k:
+        like = lambda r: max((1.0 if c[2] == r[2] else len(set(r[3]) & set(c[3])) / max(len(set(r[3]) | set(c[3])), 1) for c in chosen), default=0)  # noqa: B023, E731
+        best = min(left, key=lambda r: (-(0.7 * r[1] / top - 0.3 * like(r)), -r[1], r[0]))  # noqa: B023
+        left.remove(best)
+        chosen.append(best)
+    return [r[0] for r in chosen]
+
+
+def test_mmr_takes_all_candidates(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, round(rng.uniform(1, 9), 3), rng.randint(0, 4), rng.sample("abcdefgh", 3)) for i in range(60)]
+    df = spark.createDataFrame([(0, *r) for r in rows] + [(1, *r) for r in rows[:3]], "q int, ref int, score double, step int, ts array<string>")
+    got = {q: [r.ref for r in retrieval.mmr(df, "q", "ref", "score", "ts", "step", 5).where(f"q = {q}").orderBy("rank").collect()] for q in (0, 1)}
+    assert got == {0: greedy(rows, 5), 1: greedy(rows[:3], 5)}
+    ranked = df.withColumn("rank", F.expr("row_number() over (partition by q order by score desc, ref)"))
+    few = retrieval.contenders(ranked, "q", "score", 5)
+    assert few.count() < df.count()
+    assert [r.ref for r in retrieval.mmr(few, "q", "ref", "score", "ts", "step", 5).where("q = 0").orderBy("rank").collect()] == greedy(rows, 5)
+
+
+def test_mmr_select_reaches_below_rank_20(spark, tmp_path):
+    from logloom.plans import catalogue
+
+    docs = [(i, "alpha beta", "hot") for i in range(30)] + [(30, "alpha beta alpha beta gamma", "other")] + [(40 + i, "omega psi", "none") for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "alpha beta")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [r.doc_id for r in catalogue.mmr_select(spark, str(tmp_path)).orderBy("rank").collect()][:2] == [0, 30]
