@@ -10,7 +10,11 @@ HANDOFF = r"\(\s*->\s*(.*?)\)"
 HANDOFF_TAIL = r"\s*\(\s*->.*?\)\s*$"
 #: Characters of a lexical token and of a term.
 TOKEN = r"[a-z0-9_./:-]{2,}"
+CJK = "[\u4e00-\u9fff]+"
 TERM = r"[\p{L}\p{N}\p{M}_./:-]{3,}"
+#: Words that are no evidence, and words of a repair.
+STOPWORDS = "the a an to of for is are was be and or in on it this that with from as by not".split()
+REPAIR = r"(?iu)fix|repair|correct|test|verify|validat|pass|fail|修复|验证|测试|失败"
 #: Patterns of credentials.
 SECRET = r"(?i)(sk-[a-z0-9]{16,}|AKIA[0-9A-Z]{16}|ghp_[a-z0-9]{20,}|api[_-]?key\s*[:=]\s*\S{8,}|password\s*[:=]\s*\S{4,})"
 
@@ -26,7 +30,11 @@ def recipient(name: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    """Lexical tokens, then the bigrams of each CJK run; a run of one character is a token itself."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    runs = F.regexp_extract_all(low, F.lit(CJK), F.lit(0))
+    pairs = F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2))))
+    return F.concat(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)), F.flatten(pairs))
 
 
 def terms(text: Column) -> Column:
@@ -34,6 +42,11 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0)))
 
 
+def evidence_terms(text: Column) -> Column:
+    """The distinct terms without stop words."""
+    return F.array_except(terms(text), F.array(*[F.lit(w) for w in STOPWORDS]))
+
+
 def wilson(p: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """The 95 % interval of a share."""
     mid, den = p + z * z / (2 * n), 1 + z * z / n

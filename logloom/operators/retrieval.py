@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, terms, tokens
+from ..functions.text import REPAIR, evidence_terms, jaccard, normalize_role, recipient, terms, tokens
 from ..functions.workers import kept_once
 
 K1, B, RRF_K, MMR = 1.2, 0.75, 60, 0.7
@@ -74,6 +74,29 @@ def fuse_whole(rankings: DataFrame, eligible: DataFrame, ref: str, query: str, r
     return banded.withColumn("within", within).join(F.broadcast(before), "band").select(ref, "score", (F.col("ahead") + F.col("within")).alias("rank"))
 
 
+def evidence(spans: DataFrame, asked: DataFrame, case: str = "conv_id", step: str = "step", name: str = "name", text: str = "text", seen: DataFrame | None = None) -> DataFrame:
+    """(case, step, kind, ref, score, rank): every eligible span of a case for each step and kind that are asked.
+
+    spans: case, step, name, ref, start_byte, text. Kind upstream takes earlier spans, repair later ones, challenge both;
+    the asked step itself and (case, step, kind, ref) of `seen` are left out. Summed idf ln(1 + N / df) of the shared terms, N and df
+    within the case, 12 more for an upstream span that addresses the step's role, 3 more for words of a repair.
+    """
+    s = spans.select(case, F.col(step).alias("at"), name, "ref", "start_byte", evidence_terms(F.col(text)).alias("ts"), recipient(F.col(name)).alias("to"), F.col(text).rlike(REPAIR).alias("repairs"))
+    own = s.select(case, "at", "ref", F.explode("ts").alias("term"))
+    n = s.groupBy(case).agg(F.count("*").cast("double").alias("n"))
+    idf = own.groupBy(case, "term").agg(F.count("*").alias("df")).join(n, case).select(case, "term", F.ln(1.0 + F.col("n") / F.col("df")).alias("idf"))
+    wanted = asked.select(case, step).distinct().join(own.select(case, F.col("at").alias(step), "term").distinct(), [case, step]).join(idf, [case, "term"])
+    shared = wanted.join(own.select(case, "term", "ref"), [case, "term"]).groupBy(case, step, "ref").agg(F.sum("idf").alias("shared"))
+    role = s.groupBy(case, F.col("at").alias(step)).agg(normalize_role(F.min(name)).alias("role"))
+    met = asked.select(case, step, "kind").distinct().join(role, [case, step]).join(s.drop("ts"), case).where(F.col("at") != F.col(step))
+    met = met.where(~((F.col("kind") == "upstream") & (F.col("at") > F.col(step))) & ~((F.col("kind") == "repair") & (F.col("at") < F.col(step))))
+    met = met if seen is None else met.join(seen.select(case, step, "kind", "ref"), [case, step, "kind", "ref"], "left_anti")
+    more = F.when((F.col("kind") == "upstream") & (F.col("to") != "") & (F.col("to") == F.col("role")), 12.0).when((F.col("kind") != "upstream") & F.col("repairs"), 3.0).otherwise(0.0)
+    scored = met.join(shared, [case, step, "ref"], "left").withColumn("score", F.round(F.coalesce("shared", F.lit(0.0)) + more, 6))
+    w = Window.partitionBy(case, step, "kind").orderBy(F.desc("score"), F.abs(F.col("at") - F.col(step)), "start_byte", "ref")
+    return scored.withColumn("rank", F.row_number().over(w)).select(case, step, "kind", "ref", "score", "rank")
+
+
 def contenders(ranked: DataFrame, by: str, score: str, k: int, rank: str = "rank") -> DataFrame:
     """The rows that mmr() can choose among its first k, all others being behind one of the k best in each round.
 
@@ -109,4 +132,4 @@ def mmr(ranked: DataFrame, by: str, ref: str, score: str, term_col: str, same: s
     return chosen.select(by, F.posexplode("chosen").alias("at", "c")).select(by, F.col("c.ref").alias(ref), (F.col("at") + 1).cast("long").alias("rank"))
 
 
-__all__ = ["bm25", "fuse", "fuse_whole", "jaccard", "mmr", "overlap_idf", "term_frequencies"]
+__all__ = ["bm25", "evidence", "fuse", "fuse_whole", "jaccard", "mmr", "overlap_idf", "term_frequencies"]

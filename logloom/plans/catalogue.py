@@ -186,6 +186,15 @@ def rrf_fuse_whole(spark, d):
     return retrieval.fuse_whole(_bm25(spark, d), A.load(spark, d, "documents"), "doc_id", "item_id")
 
 
+@query()
+def evidence_retrieve(spark, d):
+    """The first five spans of each kind for the predicted step of each case; idf_overlap_retrieve is the part that its SQL says."""
+    spans = segment.utf8_pieces(A.steps(spark, d), "content", 2200).select("conv_id", "step", "name", "start_byte", F.col("piece").alias("text"), F.format_string("s%d:%d:%d", "step", "start_byte", "end_byte").alias("ref"))
+    kinds = F.explode(F.array(*[F.lit(k) for k in ("upstream", "repair", "challenge")])).alias("kind")
+    asked = A.predictions(spark, d).select("conv_id", F.col("predicted_step").alias("step"), kinds)
+    return retrieval.evidence(spans, asked).where("rank <= 5").withColumn("rank", F.col("rank").cast("long"))
+
+
 _T = "'[\\p{L}\\p{N}\\p{M}_./:-]{3,}'"
 
 

@@ -160,3 +160,25 @@ def test_mmr_select_reaches_below_rank_20(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, "alpha beta")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert [r.doc_id for r in catalogue.mmr_select(spark, str(tmp_path)).orderBy("rank").collect()][:2] == [0, 30]
+
+
+def test_chinese_has_tokens_and_ranks(spark):
+    from logloom.functions.text import evidence_terms, tokens
+
+    df = spark.createDataFrame([(1, "验证 Run a1 修复失败 中 x"), (2, "plain words here"), (3, None)], "doc_id int, text string")
+    assert {r.doc_id: r.t for r in df.select("doc_id", tokens(F.col("text")).alias("t")).collect()} == {1: ["run", "a1", "验证", "修复", "复失", "失败", "中"], 2: ["plain", "words", "here"], 3: []}
+    asked = spark.createDataFrame([(7, "测试失败")], "item_id int, query_text string")
+    assert [(r.item_id, r.doc_id) for r in retrieval.bm25(df, asked, "doc_id", "text", "item_id", "query_text").collect()] == [(7, 1)]
+    assert spark.createDataFrame([("The plan and that_x",)], "s string").select(evidence_terms(F.col("s")).alias("t")).first().t == ["plan", "that_x"]
+
+
+def test_evidence_has_directions_and_bonuses(spark):
+    rows = [(1, 0, "Boss (-> Worker)", "a", 0, "nothing shared"), (1, 1, "Other", "b", 0, "this alpha beta"), (1, 2, "Worker", "c", 0, "this alpha beta"), (1, 3, "Checker", "d", 0, "已修复"), (1, 4, "Other", "e", 0, "gamma this with")]
+    spans = spark.createDataFrame(rows, "conv_id int, step int, name string, ref string, start_byte int, text string")
+    asked = spark.createDataFrame([(1, 2, k) for k in ("upstream", "repair", "challenge")], "conv_id int, step int, kind string")
+    seen = spark.createDataFrame([(1, 2, "challenge", "b")], "conv_id int, step int, kind string, ref string")
+    out = {}
+    for r in retrieval.evidence(spans, asked, seen=seen).orderBy("kind", "rank").collect():
+        out.setdefault(r.kind, []).append((r.ref, r.score))
+    alpha = round(2 * __import__("math").log(1 + 5 / 2), 6)
+    assert out == {"upstream": [("a", 12.0), ("b", alpha)], "repair": [("d", 3.0), ("e", 0.0)], "challenge": [("d", 3.0), ("a", 0.0), ("e", 0.0)]}
