@@ -133,7 +133,7 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives below path. A file is read whole by one task, so writers bound its size."""
     ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInPandas(_parse, RECORD)
 
 

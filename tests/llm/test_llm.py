@@ -305,3 +305,13 @@ def test_pipeline_links_near_copies_of_four_fifths(spark, tmp_path):
     near = docs(spark, " ".join(base), " ".join(copy), " ".join(vocab(300, 78)))
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, near, str(tmp_path)).collect()) == [0, 2]
     assert all(r.kept for r in minhash.near_duplicates(near, percent=85).collect())
+
+
+def test_plain_and_gzip_archives_are_read(spark, tmp_path):
+    import gzip
+
+    record = lambda n: f"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <{n}>\r\nContent-Length: 2\r\n\r\nok\r\n\r\n".encode()
+    (tmp_path / "a.warc").write_bytes(record("a") + record("b"))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(record("c")))
+    (tmp_path / "notes.txt").write_bytes(record("d"))
+    assert sorted(r.record_id for r in warc.read_warc(spark, str(tmp_path)).collect()) == ["<a>", "<b>", "<c>"]
