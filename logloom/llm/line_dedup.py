@@ -1,11 +1,11 @@
 """Exact line dedup against levelled sorted runs of line hashes.
 
 `LineRuns` keeps, in the shared folder, sorted runs of (line hash, documents that hold it, largest document id). Each
-batch adds one run at level 0; when a level has `fanout` runs they are compacted into one run of the next level. A
-batch is merge-anti-joined with the runs: its lines whose hash a run rules out go, the others stay.
+batch adds one run at level 0; when a level has `fanout` runs they are compacted into one run of the next level.
+`new_lines` anti-joins a batch of a stream with the runs.
 
-`dedup_lines` feeds a whole table through the runs in batches and then holds every batch against the compacted run, so
-that a line found in `min_docs` documents stays only in the largest id that holds it.
+`dedup_lines` feeds a whole table through the runs in batches and then holds all lines against the compacted run in one join
+(the keeper is known only after the whole count), so that a line found in `min_docs` documents stays only in the largest id that holds it.
 
 Defined cases: a null or empty text is one empty line; a null id counts as one document below all others; rows that
 repeat an id are one document; equal lines within the keeper all stay; keys shorter than `min_chars` code points
