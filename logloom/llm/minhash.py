@@ -1,19 +1,23 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
-Every document is the set of its five-word shingles and has a sketch of POSITIONS minwise tokens. In each of `trees`
-independent trees a node picks, by a hash of its path, which position its members branch on; members with equal tokens
-go down together. A node of at most `leaf` members is compared exhaustively; a larger one branches again. Nodes that are
-still large at the last level hold groups of near copies.
+Every document is the set of its five-word shingles and has a sketch of POSITIONS minwise tokens. Documents with equal
+sets are one representative, which goes by a number of its own: exact copies form no pairs, and ids may repeat or be null.
+In each of `trees` independent trees a node picks, by a hash of its path, which position its members branch on; members
+with equal tokens go down together. A node of at most `leaf` members is compared exhaustively; a larger one branches
+again. Nodes that are still large at the last level hold groups of near copies.
 
 Comparison takes two rounds. First every member of a node is compared with pivots, the members that the largest number
 of nodes hold, so work is linear in a group. Then, in each node whose members aren't in one component yet, every pair
 across components is compared (in a large node: what is outside its main component with all the rest, in blocks). Links
-within a component would change nothing. Links are confirmed on full sets, and components of the links give the classes. Equal sets are one representative throughout, so exact copies form no pairs.
+within a component would change nothing. Links are confirmed on full sets, and components of the links give the classes.
+
+A node, hub or component may hold a third of all rows. What is joined to its rows is checkpointed first, so that both
+sides of such a join are plain shuffles and adaptive execution can deal a hot key out over many tasks.
 
 Defined cases: null, empty and blank texts have the empty set and link with nothing; fewer words than five are one
-shingle; rows that repeat id and text are one document, each row with the same result (an id is expected to name one
-text); a null id takes part as the smallest id and is returned as null. Extra columns are
-ignored. An empty table gives an empty result.
+shingle; rows that repeat id and text are one document, each row with the same result; rows that repeat an id with
+other texts are documents of their own; null ids sort before all others, each row a document by its text. Extra columns
+are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +37,6 @@ POSITIONS = 64
 STEP = 4096
 _rng = np.random.default_rng(77)
 MULTIPLY = (_rng.integers(0, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
-NO_ID = -(2**63)
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -49,8 +52,14 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return (mixed(least) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def row_key(id_col: Column, text: Column) -> list[Column]:
+    """k1 and k2 tell documents apart by id and text; null and empty are different."""
+    null = F.lit(None).cast("int")  # xxhash64 skips nulls: a flag tells them
+    return [F.xxhash64(F.lit(n), id_col, id_col.isNull(), text, text.isNull(), null).alias(f"k{n}") for n in (1, 2)]
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(id, n_shingles, s1, s2, sketch): s1 and s2 name the set; the sketch of an empty set is null."""
+    """(id, k1, k2, n_shingles, s1, s2, sketch): s1 and s2 name the set; the sketch of an empty set is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,12 +68,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                 own = shingle_set(text or "")
                 names = (int(own.sum(dtype=np.uint64)), int(mixed(own ^ np.uint64(0x5BF03635)).sum(dtype=np.uint64))) if len(own) else (0, 0)
                 rows.append((len(own), *(x - (1 << 64) if x >> 63 else x for x in names), sketch(own) if len(own) else None))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int32()))],
-                names=["id", "n_shingles", "s1", "s2", "sketch"],
-            )
+            made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "k1", "k2")], *made], names=["id", "k1", "k2", "n_shingles", "s1", "s2", "sketch"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n_shingles long, s1 long, s2 long, sketch array<int>")
+    return docs.select("id", "k1", "k2", "text").mapInArrow(run, "id long, k1 long, k2 long, n_shingles long, s1 long, s2 long, sketch array<int>")
 
 
 def branch(node: Column, sketch_col: str = "sketch") -> Column:
@@ -88,7 +95,7 @@ def tree_nodes(reps: DataFrame, trees: int, leaf: int, depth: int) -> tuple[Data
     level = reps.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: branch(F.xxhash64(F.lit("tree"), t)))).alias("node"))
     small = None
     for k in range(depth):
-        sizes = level.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
+        sizes = cut(level.groupBy("node").agg(F.count("*").alias("members")).where("members > 1"))
         level = cut(level.join(sizes, "node"))
         fits = level.where(F.col("members") <= leaf).select("node", "id")
         small = fits if small is None else small.unionByName(fits)
@@ -122,7 +129,7 @@ def pivot_pairs(large: DataFrame, reps: DataFrame, percent: int, slack: float) -
     """Pairs of the members of a large node with its two pivots: as many pairs as members, twice."""
     held = large.groupBy("id").agg(F.count("*").alias("nodes"))
     ranked = large.join(held, "id").groupBy("node").agg(F.max(F.struct("nodes", F.xxhash64("id").alias("h"), "id")).alias("most"), F.max(F.struct(F.xxhash64("node", "id").alias("h"), "id")).alias("drawn"))
-    pivots = ranked.select("node", F.explode(F.array("most.id", "drawn.id")).alias("pivot"))
+    pivots = cut(ranked.select("node", F.explode(F.array("most.id", "drawn.id")).alias("pivot")))
     met = large.join(pivots, "node").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     return likely(met, reps, percent, slack)
 
@@ -132,17 +139,19 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int, slack: float) -> Dat
     return pairs.join(side("a"), "a").join(side("b"), "b").where(maybe(F.col("ma"), F.col("mb"), percent, slack)).select("a", "b")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, own): the full sets, as bytes, of the documents asked for; only their texts are read into sets."""
+def full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, own): the full sets, as bytes, of the representatives asked for; only their texts are read into sets."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_set(t or "").tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["id", "own"])
 
-    return stored(docs.join(wanted.distinct(), "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(to_sets, "id long, own binary"), "sets")
+    named = reps.join(wanted.distinct(), "id", "left_semi").select("id", "k1", "k2")
+    found = docs.select("k1", "k2", "text").join(named, ["k1", "k2"]).dropDuplicates(["k1", "k2"])  # rows may repeat
+    return stored(found.select("id", "text").mapInArrow(to_sets, "id long, own binary"), "sets")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +160,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in sides]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    sets = full_sets(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
     return met.select("a", "b", "own_a", "own_b").mapInArrow(compare, "a long, b long")
 
@@ -165,17 +174,19 @@ def stray_links(large: DataFrame, labels: DataFrame, reps: DataFrame, docs: Data
     """
     known = large.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("node", "id", F.coalesce("label", "id").alias("label"))
     spread = known.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("hub")).where("lo < hi").select("node", "hub")
+    spread = cut(spread)
     opened = cut(known.join(spread, "node").select("node", "hub", "id", "label"))
     nearest = opened.groupBy("id").agg(F.min("hub").alias("near"))
-    cluster = opened.join(nearest, "id").groupBy("node").agg(F.min("near").alias("cluster"))
+    cluster = cut(opened.join(nearest, "id").groupBy("node").agg(F.min("near").alias("cluster")))
     members = cut(opened.join(cluster, "node").select("cluster", "id", "label").distinct())
     sizes = members.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("top"))
-    sizes = sizes.select("cluster", "members", F.col("top.label").alias("main"))
+    sizes = cut(sizes.select("cluster", "members", F.col("top.label").alias("main")))
     m = F.struct("id", "label", F.col("n_shingles").alias("n"), "sketch", "own").alias("m")
-    held = members.join(sizes, "cluster").join(reps.select("id", "n_shingles", "sketch"), "id").join(full_sets(docs, members.select("id")), "id").select("cluster", (F.col("label") != F.col("main")).alias("stray"), F.ceil(F.col("members") / block).alias("parts"), m)
+    held = members.join(sizes, "cluster").join(reps.select("id", "n_shingles", "sketch"), "id").join(full_sets(docs, reps, members.select("id")), "id").select("cluster", (F.col("label") != F.col("main")).alias("stray"), F.ceil(F.col("members") / block).alias("parts"), m)
     part = F.pmod(F.xxhash64("m.id"), F.col("parts")).alias("part")
     right = held.select("cluster", part, "m").groupBy("cluster", "part").agg(F.collect_list("m").alias("right"))
-    left = held.where("stray").select("cluster", part, "m").groupBy("cluster", F.col("part").alias("left_part")).agg(F.collect_list("m").alias("left"))
+    strays = held.where("stray").select("cluster", "parts", part, "m").groupBy("cluster", "parts", F.col("part").alias("left_part")).agg(F.collect_list("m").alias("left"))
+    left = strays.select("cluster", "left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))  # each pair of blocks is dealt out by itself
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +194,7 @@ def stray_links(large: DataFrame, labels: DataFrame, reps: DataFrame, docs: Data
                 found = cross_links(batch.column("left")[k].values, batch.column("right")[k].values, percent, slack)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    dealt = left.join(right, "cluster").select("left", "right")
+    dealt = left.join(right, ["cluster", "part"]).select("left", "right")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -211,27 +222,46 @@ def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(p) + len(q) - both)
 
 
-def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 16, leaf: int = 16, depth: int = 6, slack: float = 0.25,
+def classified(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 16, leaf: int = 16, depth: int = 6, slack: float = 0.25, salts: int = 16,
 ) -> DataFrame:
-    """Returns id_col, n_shingles, component_id and kept: one row for each input row.
-
-    Links join documents with 100 * |intersection| >= percent * |union|; component_id is the smallest id reachable.
-    """
+    """(id, k1, k2, n_shingles, first): one row for each input row; first (id, k1, k2) is the smallest document of its component."""
     ship(docs.sparkSession)
-    used = pick(docs, [id_col, text_col]).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    docs = pick(docs, [id_col, text_col]).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    used = docs.select("id", "text", *row_key(F.col("id"), F.col("text")))
     known = stored(sketches(used), "sketches")
-    sets = known.where("n_shingles > 0")
-    reps = stored(sets.groupBy("s1", "s2").agg(F.min(F.struct("id", "n_shingles", "sketch")).alias("m")).select("s1", "s2", "m.*"), "reps")
+    document = F.struct("id", "k1", "k2")  # nulls sort first in a struct
+    reps = known.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "k1", "k2", "n_shingles", "sketch")).alias("m"))
+    # the number is fixed once it is written
+    reps = stored(reps.select(F.monotonically_increasing_id().alias("id"), F.struct("m.id", "m.k1", "m.k2").alias("document"), "m.k1", "m.k2", "s1", "s2", "m.n_shingles", "m.sketch"), "reps")
     small, large = tree_nodes(reps, trees, leaf, depth)
     tested = cut(small_pairs(small, reps, percent, slack).union(pivot_pairs(large, reps, percent, slack)).distinct())
     release(docs.sparkSession)
-    labels = components(cut(confirmed(tested, used, percent)))
+    labels = components(cut(confirmed(tested, used, reps, percent)))
     rest = small_rest(small, labels, reps, percent, slack).join(tested, ["a", "b"], "left_anti")
-    more = confirmed(cut(rest), used, percent).union(stray_links(large, labels, reps, used, percent, slack))
-    labels = relabelled(labels, more)
-    classes = reps.select("s1", "s2", "id").join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("label", "id").alias("component_id"))
-    out = known.select("id", "n_shingles", "s1", "s2").join(classes, (F.col("n_shingles") > 0) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
-    real = lambda c: F.when(c != NO_ID, c)
-    component = F.coalesce("component_id", "id")
-    return out.select(real(F.col("id")).alias(id_col), "n_shingles", real(component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    more = confirmed(cut(rest), used, reps, percent).union(stray_links(large, labels, reps, used, percent, slack))
+    labels = cut(relabelled(labels, more).join(reps.select(F.col("id").alias("node"), "document"), "node").select("node", "label", "document"))
+    firsts = labels.groupBy("label").agg(F.min("document").alias("first"))
+    # a component may hold a third of all rows: its first document goes to every salt
+    salted = cut(firsts.select("label", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")))
+    linked = labels.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(salted, ["label", "salt"]).select(F.col("node").alias("id"), "first")
+    classes = reps.select("s1", "s2", "id", "document").join(linked, "id", "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("first", "document").alias("first"))
+    out = known.select("id", "k1", "k2", "n_shingles", "s1", "s2").join(classes, (F.col("n_shingles") > 0) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
+    return out.select("id", "k1", "k2", "n_shingles", F.coalesce("first", document).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """Returns id_col, n_shingles, component_id and kept: one row for each input row.
+
+    Links join documents with 100 * |intersection| >= percent * |union|; component_id is the smallest id reachable, kept
+    whether it is the row's own. The keywords are those of classified().
+    """
+    out = classified(docs, id_col=id_col, **how)
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.col("first.id").alias("component_id"), F.col("id").eqNullSafe(F.col("first.id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, one of each group of near copies: that of the smallest document; of rows that repeat id and text, one."""
+    kept = classified(docs, id_col=id_col, text_col=text_col, **how).where((F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))).select("k1", "k2").distinct()
+    keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *row_key(docs[f"`{id_col}`"].cast("long"), docs[f"`{text_col}`"]))
+    return keyed.join(kept, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("row.*")
