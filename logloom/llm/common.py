@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a new one in local mode only."""
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(told)
         return told
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="logloom-"))
     return sc.getCheckpointDir()
 
@@ -52,11 +54,23 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Writes a frame as Parquet below the shared folder and reads it back; for frames too large for checkpoint()."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """stored_at() without the path."""
+    return stored_at(df, name)[0]
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders that no frame in use reads."""
+    for path in paths:
+        told = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        told.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(told, True)
 
 
 #: Rows and bytes of an Arrow batch: texts are long, and a worker, its JVM buffers included, holds a few batches at once.
@@ -93,6 +107,12 @@ def hash128(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit("second"), *cols).alias("h2")]
 
 
+def row_key(id_col: Column, text: Column) -> list[Column]:
+    """k1 and k2 tell documents apart by id and text (or a hash of it); null and empty are different."""
+    # xxhash64 skips nulls: a flag tells them
+    return [F.xxhash64(F.lit(n), id_col, id_col.isNull(), text, text.isNull()).alias(f"k{n}") for n in (1, 2)]
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

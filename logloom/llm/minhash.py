@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, release, ship, stored
+from .common import cut, pick, release, row_key, ship, stored
 from .components import components, relabelled
 from .shingles import mixed, shingle_hashes
 
@@ -52,12 +52,6 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return (mixed(least) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def row_key(id_col: Column, text: Column) -> list[Column]:
-    """k1 and k2 tell documents apart by id and text; null and empty are different."""
-    null = F.lit(None).cast("int")  # xxhash64 skips nulls: a flag tells them
-    return [F.xxhash64(F.lit(n), id_col, id_col.isNull(), text, text.isNull(), null).alias(f"k{n}") for n in (1, 2)]
-
-
 def sketches(docs: DataFrame) -> DataFrame:
     """(id, k1, k2, n_shingles, s1, s2, sketch): s1 and s2 name the set; the sketch of an empty set is null."""
 
@@ -261,7 +255,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFr
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs, one of each group of near copies: that of the smallest document; of rows that repeat id and text, one."""
+    """The rows of docs, one of each group of near copies: that of the smallest document; of rows that repeat id and text, the smallest."""
     kept = classified(docs, id_col=id_col, text_col=text_col, **how).where((F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))).select("k1", "k2").distinct()
-    keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *row_key(docs[f"`{id_col}`"].cast("long"), docs[f"`{text_col}`"]))
-    return keyed.join(kept, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("row.*")
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    row = F.struct(*[docs[f"`{c}`"] for c in (id_col, *rest, text_col)]).alias("row")
+    one = docs.select(row, *row_key(docs[f"`{id_col}`"].cast("long"), docs[f"`{text_col}`"])).groupBy("k1", "k2").agg(F.min("row").alias("row"))
+    return one.join(kept, ["k1", "k2"], "left_semi").select(*[F.col(f"row.`{c}`") for c in docs.columns])

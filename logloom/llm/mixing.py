@@ -9,8 +9,8 @@ Sources are ordered by code point, null last, and weigh 5, 2, 1, repeating. They
 stops at `max_passes` times its size, and what it can't take is shared by the others by weight until none is above.
 
 Defined cases: a null text has no words; a document without words is in no block and is taken 0 times; sources without
-words get target 0. Documents are laid out by (salt, id, text hash); rows that repeat an id and text are laid out
-next to each other and share out what is taken evenly by position. Extra columns are ignored. The result depends on
+words get target 0. Documents are laid out by (salt, id, hash of text and source); rows that repeat all three are laid out
+next to each other, each with words of its own in the blocks. Extra columns are ignored. The result depends on
 the rows and the seed only, not on partitioning. An empty table gives an empty result.
 """
 
@@ -92,12 +92,17 @@ def source_plan(placed: DataFrame, block_words: int, max_passes: int) -> list[di
     return plan
 
 
+def text_key(text: Column, source: Column) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), source)
+
+
 def place(docs: DataFrame, id_col: str, text_col: str, source_col: str, salts: int) -> DataFrame:
     """(id, t, source, size, start): where each document's words begin among its source's, without a window over a whole source.
 
     Documents fall into `salts` bins of each source; a window over the bins' totals, then one within each bin.
     """
-    sized = docs.select(docs[id_col].alias("id"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("t"), docs[source_col].alias("source"), F.size(words(docs[text_col])).cast("long").alias("size"))
+    sized = docs.select(docs[id_col].alias("id"), text_key(docs[text_col], docs[source_col]).alias("t"), docs[source_col].alias("source"), F.size(words(docs[text_col])).cast("long").alias("size"))
     sized = sized.withColumn("bin", F.pmod(F.xxhash64("id", "t"), F.lit(salts)))
     bins = sized.groupBy("source", "bin").agg(F.sum("size").alias("total"))
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
