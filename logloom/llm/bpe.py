@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import pick, ship
+from .common import pick, refuse, ship
 
 #: The endings that the pre-splitting of byte-level BPE vocabularies takes for words of their own.
 ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -485,11 +485,6 @@ def strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(sizes), offsets_of(sizes).buffers()[1], pa.py_buffer(np.ascontiguousarray(data)))
 
 
-def refuse(carry: Sequence[str], made: Sequence[str]) -> None:
-    if both := set(carry) & set(made):
-        raise ValueError(f"carried columns are named like output columns: {sorted(both)}")
-
-
 def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", carry: Sequence[str] = ("doc_id",), ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """Returns the carried columns and ids_col (array of int): one row for each input row.
 

@@ -7,7 +7,7 @@ close, the text is flagged as ambiguous.
 
 Fitting reads a bounded sample: about `per_language` documents of each language, chosen by a hash of the id.
 
-Defined cases: a text that is null or has no letter is `und` with score 0; with no language learned every text is;
+Defined cases: a text that is null or has no letter is `und` with score 0; with no language learned every text is; a carried column named like an output column is refused;
 equal codeword losses go to the first language by code point; rows are independent, so repeated rows get equal results.
 Extra columns are ignored. An empty table gives an empty result.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pick, ship
+from .common import pick, refuse, ship
 
 GRAMS = 1 << 16
 STEP = 1 << 16
@@ -126,6 +126,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", c
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on languages and GRAMS only
     carry = tuple(carry)
+    refuse(carry, ["lang_pred", "score", "ambiguous", "__text", "__letter"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value

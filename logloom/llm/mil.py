@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh32_intdigest
 
-from .common import pick, ship
+from .common import pick, refuse, ship
 
 PASSAGE_WORDS = 64
 #: Bags longer than this are scored by running sums over slices of so many passages.
@@ -161,6 +161,7 @@ def score(docs: DataFrame, model: AttentionMIL, *, text_col: str = "text", carry
     """Returns the carried columns and score: one row for each input row."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    refuse(carry, ["score", "__text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value

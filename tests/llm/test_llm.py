@@ -315,3 +315,34 @@ def test_plain_and_gzip_archives_are_read(spark, tmp_path):
     (tmp_path / "c.warc.gz").write_bytes(gzip.compress(record("c")))
     (tmp_path / "notes.txt").write_bytes(record("d"))
     assert sorted(r.record_id for r in warc.read_warc(spark, str(tmp_path)).collect()) == ["<a>", "<b>", "<c>"]
+
+
+def test_line_of_a_million_blanks_and_carried_names(spark):
+    long = "a" + " " * 1_000_000 + "b"
+    rows = spark.createDataFrame([(i, f"x{i}\n {long}\t", "k") for i in (1, 2, None, 2)] + [(3, None, "n")], "doc_id long, text string, i string")
+    got = sorted(((r.doc_id, r.i, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(rows, carry=["i"]).collect()), key=str)
+    assert got == sorted([(1, "k", 2, 1), (2, "k", 2, 0), (2, "k", 2, 0), (None, "k", 2, 1), (3, "n", 1, 0)], key=str)
+    assert line_dedup.dedup_lines(rows.limit(0)).count() == 0
+    for f in (lambda d: line_dedup.dedup_lines(d, carry=["kept_text"]), lambda d: mil.score(d, mil.fit([], []), carry=("score",)), lambda d: langid.identify(d, langid.fit([], []), carry=("score",))):
+        with pytest.raises(ValueError, match="named like"):
+            f(rows.withColumn("kept_text", F.lit(1)).withColumn("score", F.lit(1)))
+
+
+def test_runs_are_merged_without_a_shuffle(spark):
+    runs = line_dedup.LineRuns(spark, fanout=3)
+    lines = spark.createDataFrame([(i, 4 - i // 10, h, h) for i in range(50) for h in {i % 7, i, 99}], "id long, batch int, h1 long, h2 long")
+    own = runs.entries(lines, 5)
+    for k in range(5):
+        part = own.where(F.col("batch") == k).drop("batch")
+        if k:
+            with line_dedup.sorted_scans(spark):
+                plan = runs.new_lines(part)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        runs.add_entries(part)
+    assert list(map(len, runs.levels)) == [2, 1]  # three runs became one of level 1
+    held = {}
+    for i in range(50):
+        for h in {i % 7, i, 99}:
+            held.setdefault(h, set()).add(i)
+    assert {r.h1: (r.n_docs, r.keeper) for r in runs.seen().collect()} == {h: (len(x), max(x)) for h, x in held.items()}
+    runs.close()
