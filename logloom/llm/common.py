@@ -6,7 +6,8 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,23 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
 
 
+@contextmanager
+def settings(spark: SparkSession, told: dict[str, str]) -> Iterator[None]:
+    """Session settings for the jobs that run within it; what was set before is set again after."""
+    before = {key: spark.conf.get(key, None) for key in told}
+    for key, value in told.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+#: What grows with the corpus is never gathered on the driver for a broadcast: both sides of a join are shuffled and merged.
+SHUFFLED = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Binds a value to a lambda variable, so that an expression which uses it often evaluates it once."""
     return F.element_at(F.transform(F.array(value), body), 1)

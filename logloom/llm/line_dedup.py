@@ -17,13 +17,13 @@ empty result.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
+from contextlib import AbstractContextManager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, hash128, pick, refuse, remove, scratch, stored_at
+from .common import fold, hash128, pick, refuse, remove, scratch, settings, stored_at
 
 #: Fixed value: the white space that a key is stripped of.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -47,16 +47,12 @@ def candidate_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int)
     return docs.select(docs[id_col].cast("long").alias("id"), *document(docs[id_col], text), F.explode(hashed).alias("l")).select("id", "i", "no_id", "t", "l.*")
 
 
-@contextmanager
-def sorted_scans(spark: SparkSession) -> Iterator[None]:
-    """Within it, a scan of a run knows that its buckets are sorted."""
-    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+#: Within it, a scan of a run knows that its buckets are sorted.
+SORTED = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
+
+
+def sorted_scans(spark: SparkSession) -> AbstractContextManager[None]:
+    return settings(spark, SORTED)
 
 
 class LineRuns:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, release, row_key, ship, stored
+from .common import SHUFFLED, cut, pick, release, row_key, settings, ship, stored
 from .components import components, relabelled
 from .shingles import mixed, shingle_hashes
 
@@ -223,25 +223,33 @@ def classified(
     ship(docs.sparkSession)
     docs = pick(docs, [id_col, text_col]).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     used = docs.select("id", "text", *row_key(F.col("id"), F.col("text")))
+    with settings(docs.sparkSession, SHUFFLED):
+        known, reps, labels = linked_classes(used, percent, trees, leaf, depth, slack)
+        firsts = labels.groupBy("label").agg(F.min("document").alias("first"))
+        # a component may hold a third of all rows: its first document goes to every salt
+        salted = cut(firsts.select("label", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")))
+        release(docs.sparkSession)
+    linked = labels.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(salted, ["label", "salt"]).select(F.col("node").alias("id"), "first")
+    classes = reps.select("s1", "s2", "id", "document").join(linked, "id", "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("first", "document").alias("first"))
+    out = known.select("id", "k1", "k2", "n_shingles", "s1", "s2").join(classes, (F.col("n_shingles") > 0) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
+    return out.select("id", "k1", "k2", "n_shingles", F.coalesce("first", F.struct("id", "k1", "k2")).alias("first"))
+
+
+def linked_classes(used: DataFrame, percent: int, trees: int, leaf: int, depth: int, slack: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sketches, representatives, labels (node, label, document) of the representatives that have a link)."""
     known = stored(sketches(used), "sketches")
-    document = F.struct("id", "k1", "k2")  # nulls sort first in a struct
+    # a document is (id, k1, k2); nulls sort first in a struct
     reps = known.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "k1", "k2", "n_shingles", "sketch")).alias("m"))
     # the number is fixed once it is written
     reps = stored(reps.select(F.monotonically_increasing_id().alias("id"), F.struct("m.id", "m.k1", "m.k2").alias("document"), "m.k1", "m.k2", "s1", "s2", "m.n_shingles", "m.sketch"), "reps")
     small, large = tree_nodes(reps, trees, leaf, depth)
     tested = cut(small_pairs(small, reps, percent, slack).union(pivot_pairs(large, reps, percent, slack)).distinct())
-    release(docs.sparkSession)
+    release(used.sparkSession)
     labels = components(cut(confirmed(tested, used, reps, percent)))
-    rest = small_rest(small, labels, reps, percent, slack).join(tested, ["a", "b"], "left_anti")
-    more = confirmed(cut(rest), used, reps, percent).union(stray_links(large, labels, reps, used, percent, slack))
-    labels = cut(relabelled(labels, more).join(reps.select(F.col("id").alias("node"), "document"), "node").select("node", "label", "document"))
-    firsts = labels.groupBy("label").agg(F.min("document").alias("first"))
-    # a component may hold a third of all rows: its first document goes to every salt
-    salted = cut(firsts.select("label", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")))
-    linked = labels.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(salted, ["label", "salt"]).select(F.col("node").alias("id"), "first")
-    classes = reps.select("s1", "s2", "id", "document").join(linked, "id", "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("first", "document").alias("first"))
-    out = known.select("id", "k1", "k2", "n_shingles", "s1", "s2").join(classes, (F.col("n_shingles") > 0) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
-    return out.select("id", "k1", "k2", "n_shingles", F.coalesce("first", document).alias("first"))
+    rest = cut(small_rest(small, labels, reps, percent, slack).join(tested, ["a", "b"], "left_anti"))
+    release(used.sparkSession)
+    more = confirmed(rest, used, reps, percent).union(stray_links(large, labels, reps, used, percent, slack))
+    return known, reps, cut(relabelled(labels, more).join(reps.select(F.col("id").alias("node"), "document"), "node").select("node", "label", "document"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
