@@ -22,6 +22,7 @@ are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHUFFLED, cut, pick, release, row_key, settings, ship, stored
+from .common import SHUFFLED, cut, pick, release, remove, row_key, settings, shared_dir, ship, stored
 from .components import components, relabelled
 from .shingles import mixed, shingle_hashes
 
@@ -133,8 +134,8 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int, slack: float) -> Dat
     return pairs.join(side("a"), "a").join(side("b"), "b").where(maybe(F.col("ma"), F.col("mb"), percent, slack)).select("a", "b")
 
 
-def full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, own): the full sets, as bytes, of the representatives asked for; only their texts are read into sets."""
+def full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, run: str) -> DataFrame:
+    """(id, own): the full sets, as bytes, of the representatives asked for; only their texts are read into sets. `run` names the folder."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,10 +143,10 @@ def full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
 
     named = reps.join(wanted.distinct(), "id", "left_semi").select("id", "k1", "k2")
     found = docs.select("k1", "k2", "text").join(named, ["k1", "k2"]).dropDuplicates(["k1", "k2"])  # rows may repeat
-    return stored(found.select("id", "text").mapInArrow(to_sets, "id long, own binary"), "sets")
+    return stored(found.select("id", "text").mapInArrow(to_sets, "id long, own binary"), f"{run}/sets")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, run: str) -> DataFrame:
     """The pairs whose full sets are similar enough."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,12 +155,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
             keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in sides]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = full_sets(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    sets = full_sets(docs, reps, pairs.select(F.explode(F.array("a", "b")).alias("id")), run)
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
     return met.select("a", "b", "own_a", "own_b").mapInArrow(compare, "a long, b long")
 
 
-def stray_links(large: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, slack: float, block: int = 128) -> DataFrame:
+def stray_links(large: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, slack: float, run: str, block: int = 128) -> DataFrame:
     """Links between components among the members of large nodes, found by comparing blocks; pairs never become rows.
 
     Nodes of one component need no more. Of the others, those that share members with a small hub form a cluster, which
@@ -176,7 +177,7 @@ def stray_links(large: DataFrame, labels: DataFrame, reps: DataFrame, docs: Data
     sizes = members.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("top"))
     sizes = cut(sizes.select("cluster", "members", F.col("top.label").alias("main")))
     m = F.struct("id", "label", F.col("n_shingles").alias("n"), "sketch", "own").alias("m")
-    held = members.join(sizes, "cluster").join(reps.select("id", "n_shingles", "sketch"), "id").join(full_sets(docs, reps, members.select("id")), "id").select("cluster", (F.col("label") != F.col("main")).alias("stray"), F.ceil(F.col("members") / block).alias("parts"), m)
+    held = members.join(sizes, "cluster").join(reps.select("id", "n_shingles", "sketch"), "id").join(full_sets(docs, reps, members.select("id"), run), "id").select("cluster", (F.col("label") != F.col("main")).alias("stray"), F.ceil(F.col("members") / block).alias("parts"), m)
     part = F.pmod(F.xxhash64("m.id"), F.col("parts")).alias("part")
     right = held.select("cluster", part, "m").groupBy("cluster", "part").agg(F.collect_list("m").alias("right"))
     strays = held.where("stray").select("cluster", "parts", part, "m").groupBy("cluster", "parts", F.col("part").alias("left_part")).agg(F.collect_list("m").alias("left"))
@@ -223,32 +224,35 @@ def classified(
     ship(docs.sparkSession)
     docs = pick(docs, [id_col, text_col]).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     used = docs.select("id", "text", *row_key(F.col("id"), F.col("text")))
-    with settings(docs.sparkSession, SHUFFLED):
-        known, reps, labels = linked_classes(used, percent, trees, leaf, depth, slack)
+    spark, run = docs.sparkSession, f"near-{uuid.uuid4().hex}"
+    with settings(spark, SHUFFLED):
+        known, reps, labels = linked_classes(used, run, percent, trees, leaf, depth, slack)
         firsts = labels.groupBy("label").agg(F.min("document").alias("first"))
         # a component may hold a third of all rows: its first document goes to every salt
         salted = cut(firsts.select("label", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")))
-        release(docs.sparkSession)
-    linked = labels.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(salted, ["label", "salt"]).select(F.col("node").alias("id"), "first")
-    classes = reps.select("s1", "s2", "id", "document").join(linked, "id", "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("first", "document").alias("first"))
-    out = known.select("id", "k1", "k2", "n_shingles", "s1", "s2").join(classes, (F.col("n_shingles") > 0) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
-    return out.select("id", "k1", "k2", "n_shingles", F.coalesce("first", F.struct("id", "k1", "k2")).alias("first"))
+        linked = labels.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(salted, ["label", "salt"]).select(F.col("node").alias("id"), "first")
+        classes = reps.select("s1", "s2", "id", "document").join(linked, "id", "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("first", "document").alias("first"))
+        out = known.select("id", "k1", "k2", "n_shingles", "s1", "s2").join(classes, (F.col("n_shingles") > 0) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
+        out = stored(out.select("id", "k1", "k2", "n_shingles", F.coalesce("first", F.struct("id", "k1", "k2")).alias("first")), "near-classes")
+    remove(spark, f"{shared_dir(spark).rstrip('/')}/{run}")
+    release(spark)
+    return out
 
 
-def linked_classes(used: DataFrame, percent: int, trees: int, leaf: int, depth: int, slack: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def linked_classes(used: DataFrame, run: str, percent: int, trees: int, leaf: int, depth: int, slack: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sketches, representatives, labels (node, label, document) of the representatives that have a link)."""
-    known = stored(sketches(used), "sketches")
+    known = stored(sketches(used), f"{run}/sketches")
     # a document is (id, k1, k2); nulls sort first in a struct
     reps = known.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "k1", "k2", "n_shingles", "sketch")).alias("m"))
     # the number is fixed once it is written
-    reps = stored(reps.select(F.monotonically_increasing_id().alias("id"), F.struct("m.id", "m.k1", "m.k2").alias("document"), "m.k1", "m.k2", "s1", "s2", "m.n_shingles", "m.sketch"), "reps")
+    reps = stored(reps.select(F.monotonically_increasing_id().alias("id"), F.struct("m.id", "m.k1", "m.k2").alias("document"), "m.k1", "m.k2", "s1", "s2", "m.n_shingles", "m.sketch"), f"{run}/reps")
     small, large = tree_nodes(reps, trees, leaf, depth)
     tested = cut(small_pairs(small, reps, percent, slack).union(pivot_pairs(large, reps, percent, slack)).distinct())
     release(used.sparkSession)
-    labels = components(cut(confirmed(tested, used, reps, percent)))
+    labels = components(cut(confirmed(tested, used, reps, percent, run)))
     rest = cut(small_rest(small, labels, reps, percent, slack).join(tested, ["a", "b"], "left_anti"))
     release(used.sparkSession)
-    more = confirmed(rest, used, reps, percent).union(stray_links(large, labels, reps, used, percent, slack))
+    more = confirmed(rest, used, reps, percent, run).union(stray_links(large, labels, reps, used, percent, slack, run))
     return known, reps, cut(relabelled(labels, more).join(reps.select(F.col("id").alias("node"), "document"), "node").select("node", "label", "document"))
 
 
@@ -268,4 +272,5 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     row = F.struct(*[docs[f"`{c}`"] for c in (id_col, *rest, text_col)]).alias("row")
     one = docs.select(row, *row_key(docs[f"`{id_col}`"].cast("long"), docs[f"`{text_col}`"])).groupBy("k1", "k2").agg(F.min("row").alias("row"))
-    return one.join(kept, ["k1", "k2"], "left_semi").select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    # what is kept grows with the corpus: it is shuffled, not gathered on the driver
+    return one.join(kept.hint("merge"), ["k1", "k2"], "left_semi").select(*[F.col(f"row.`{c}`") for c in docs.columns])
