@@ -11,8 +11,8 @@ of nodes hold, so work is linear in a group. Then, in each node whose members ar
 across components is compared (in a large node: what is outside its main component with all the rest, in blocks). Links
 within a component would change nothing. Links are confirmed on full sets, and components of the links give the classes.
 
-A node, hub or component may hold a third of all rows. What is joined to its rows is checkpointed first, so that both
-sides of such a join are plain shuffles and adaptive execution can deal a hot key out over many tasks.
+A component may hold a third of all rows: its first document reaches its rows by a salted join. A node's rows meet
+what is counted of it in one task; a row there is two numbers.
 
 Defined cases: null, empty and blank texts have the empty set and link with nothing; fewer words than five are one
 shingle; rows that repeat id and text are one document, each row with the same result; rows that repeat an id with
@@ -90,7 +90,7 @@ def tree_nodes(reps: DataFrame, trees: int, leaf: int, depth: int) -> tuple[Data
     level = reps.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: branch(F.xxhash64(F.lit("tree"), t)))).alias("node"))
     small = None
     for k in range(depth):
-        sizes = cut(level.groupBy("node").agg(F.count("*").alias("members")).where("members > 1"))
+        sizes = level.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
         level = cut(level.join(sizes, "node"))
         fits = level.where(F.col("members") <= leaf).select("node", "id")
         small = fits if small is None else small.unionByName(fits)
@@ -124,7 +124,7 @@ def pivot_pairs(large: DataFrame, reps: DataFrame, percent: int, slack: float) -
     """Pairs of the members of a large node with its two pivots: as many pairs as members, twice."""
     held = large.groupBy("id").agg(F.count("*").alias("nodes"))
     ranked = large.join(held, "id").groupBy("node").agg(F.max(F.struct("nodes", F.xxhash64("id").alias("h"), "id")).alias("most"), F.max(F.struct(F.xxhash64("node", "id").alias("h"), "id")).alias("drawn"))
-    pivots = cut(ranked.select("node", F.explode(F.array("most.id", "drawn.id")).alias("pivot")))
+    pivots = ranked.select("node", F.explode(F.array("most.id", "drawn.id")).alias("pivot"))
     met = large.join(pivots, "node").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     return likely(met, reps, percent, slack)
 
@@ -169,13 +169,12 @@ def stray_links(large: DataFrame, labels: DataFrame, reps: DataFrame, docs: Data
     """
     known = large.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("node", "id", F.coalesce("label", "id").alias("label"))
     spread = known.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("id").alias("hub")).where("lo < hi").select("node", "hub")
-    spread = cut(spread)
     opened = cut(known.join(spread, "node").select("node", "hub", "id", "label"))
     nearest = opened.groupBy("id").agg(F.min("hub").alias("near"))
-    cluster = cut(opened.join(nearest, "id").groupBy("node").agg(F.min("near").alias("cluster")))
+    cluster = opened.join(nearest, "id").groupBy("node").agg(F.min("near").alias("cluster"))
     members = cut(opened.join(cluster, "node").select("cluster", "id", "label").distinct())
     sizes = members.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("members"), F.max(F.struct("n", "label")).alias("top"))
-    sizes = cut(sizes.select("cluster", "members", F.col("top.label").alias("main")))
+    sizes = sizes.select("cluster", "members", F.col("top.label").alias("main"))
     m = F.struct("id", "label", F.col("n_shingles").alias("n"), "sketch", "own").alias("m")
     held = members.join(sizes, "cluster").join(reps.select("id", "n_shingles", "sketch"), "id").join(full_sets(docs, reps, members.select("id"), run), "id").select("cluster", (F.col("label") != F.col("main")).alias("stray"), F.ceil(F.col("members") / block).alias("parts"), m)
     part = F.pmod(F.xxhash64("m.id"), F.col("parts")).alias("part")
@@ -252,7 +251,10 @@ def linked_classes(used: DataFrame, run: str, percent: int, trees: int, leaf: in
     labels = components(cut(confirmed(tested, used, reps, percent, run)))
     rest = cut(small_rest(small, labels, reps, percent, slack).join(tested, ["a", "b"], "left_anti"))
     release(used.sparkSession)
-    more = confirmed(rest, used, reps, percent, run).union(stray_links(large, labels, reps, used, percent, slack, run))
+    more = confirmed(rest, used, reps, percent, run)
+    release(used.sparkSession)
+    more = cut(more.union(stray_links(large, labels, reps, used, percent, slack, run)))
+    release(used.sparkSession)
     return known, reps, cut(relabelled(labels, more).join(reps.select(F.col("id").alias("node"), "document"), "node").select("node", "label", "document"))
 
 
