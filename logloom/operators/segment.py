@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.workers import importable
 
 PIECES = "array<struct<part:int,start_byte:int,end_byte:int,piece:string>>"
+#: Fixed value: what stands for the part left out.
 MARK = "\n[... excerpt omitted ...]\n"
 
 
@@ -47,7 +48,8 @@ def clip_text(text: str, budget: int) -> str:
     if len(data) <= budget:
         return text
     room = max(budget - len(MARK.encode()), 0)
-    head, tail = data[: (room + 1) // 2], data[len(data) - room // 2 :] if room // 2 else b""
+    half = room // 2
+    head, tail = data[:half], data[len(data) - half :] if half else b""
     return head.decode("utf-8", "ignore") + MARK + tail.decode("utf-8", "ignore")
 
 
