@@ -80,7 +80,7 @@ def document_lines(docs: DataFrame, *, id_col: str, text_col: str, host_col: str
 
 def line_frequency_rules(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-    max_docs: int = 10, min_share: float = 0.5, min_words: int = 10, max_repeat: float = 0.2,
+    max_docs: int = 10, min_share: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20,
 ) -> DataFrame:
     """Applies base rules and the line frequency rule.
 
@@ -100,9 +100,7 @@ def line_frequency_rules(
         (F.sum("n") / copies).cast("long").alias("line_words"), (F.sum(F.when(F.col("c1").isNotNull(), F.col("n")).otherwise(0)) / copies).cast("long").alias("removed_words")
     )
     base = base_signals(docs, **cols)
-    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.lit(max_repeat) * F.col("n_words"))
-    if max_repeat == 0.2:  # in integers, as the contract states it
-        failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     rest = F.col("line_words") - F.col("removed_words")
     return (
         base.join(totals, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("t") == F.col("l_t")) & F.col("host").eqNullSafe(F.col("l_host")))
@@ -110,3 +108,25 @@ def line_frequency_rules(
         .withColumn("kept", ~F.col("base_failed") & (rest >= F.lit(min_share) * F.col("line_words")))
         .select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "line_words", "removed_words", "kept")
     )
+
+
+def without_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 10) -> DataFrame:
+    """id_col, host_col, cleaned_text and removed_lines: each row's text without the lines that more than `max_docs` documents of its host hold.
+
+    Blank lines stay; rows that repeat id, text and host are copies of one document, each copy counted, and get the same text.
+    """
+    docs = pick(docs, [id_col, text_col, host_col])
+    text = F.coalesce(docs[text_col], F.lit(""))
+    norm = lambda x: F.lower(F.trim(F.regexp_replace(x, SPACE + "+", " ")))
+    placed = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), norm(x).alias("k"))), lambda x: x["k"] != "")
+    lines = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("t"), docs[host_col].alias("host"), F.explode(F.transform(placed, lambda x: F.struct(x["pos"].alias("pos"), *hash128(x["k"])))).alias("l")).select("id", "t", "host", "l.*")
+    distinct = document_lines(docs, id_col=id_col, text_col=text_col, host_col=host_col).where("h1 is not null")
+    common = distinct.groupBy("host", "h1", "h2").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs).select(F.col("host").alias("c_host"), F.col("h1").alias("c1"), F.col("h2").alias("c2"))
+    hit = lines.join(common, F.col("host").eqNullSafe(F.col("c_host")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")))
+    gone = hit.groupBy(F.col("id").alias("g_id"), F.col("t").alias("g_t"), F.col("host").alias("g_host")).agg(F.collect_set("pos").alias("gone"))
+    keyed = docs.select(docs[id_col].alias("id"), docs[host_col].alias("host"), text.alias("whole"), F.xxhash64(text).alias("t"))
+    out = keyed.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & (F.col("t") == F.col("g_t")) & F.col("host").eqNullSafe(F.col("g_host")), "left")
+    stay = F.filter(F.split("whole", "\n"), lambda x, i: ~F.array_contains("gone", i))
+    cleaned = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.array_join(stay, "\n"))
+    removed = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("long")
+    return out.select(F.col("id").alias(id_col), F.col("host").alias(host_col), cleaned.alias("cleaned_text"), removed.alias("removed_lines"))

@@ -109,11 +109,13 @@ def fingerprints_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     ranged = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("t")).repartitionByRange(n, "id", "t").sortWithinPartitions("id", "t")
     ordered = ranged.select("id", "text", F.spark_partition_id().alias("part"))
     rows = stored(ordered.mapInArrow(_within, PAIR + ", kind string, part int, text string"), "simhash")
-    # at most one head and one tail for each partition
-    seams = rows.where("kind <> 'pair'").groupBy("part").agg(F.max(F.when(F.col("kind") == "head", F.col("text"))).alias("head"), F.max(F.when(F.col("kind") == "tail", F.struct("id", "text"))).alias("tail"))
+    # at most one head and one tail for each partition; only part numbers are ordered in one task, texts are joined to them
+    ends = rows.where("kind <> 'pair'")
     order = Window.orderBy("part")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    joined = seams.select(F.col("tail.id").alias("id"), F.col("tail.text").alias("text"), F.coalesce(F.lead("head").over(order), F.first("head").over(whole)).alias("following"))
+    after = ends.select("part").distinct().select("part", F.coalesce(F.lead("part").over(order), F.first("part").over(whole)).alias("next_part"))
+    tails = ends.where("kind = 'tail'").select("id", "text", "part").join(after, "part")
+    joined = tails.join(ends.where("kind = 'head'").select(F.col("part").alias("next_part"), F.col("text").alias("following")).hint("merge"), "next_part").select("id", "text", "following")
     out = rows.where("kind = 'pair'").select(*NAMES).unionByName(joined.mapInArrow(_seams, PAIR))
     return out.withColumnRenamed("id", id_col)
 
