@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.workers import importable
 
@@ -53,35 +55,68 @@ def clip_text(text: str, budget: int) -> str:
     return head.decode("utf-8", "ignore") + MARK + tail.decode("utf-8", "ignore")
 
 
-def clip(df: DataFrame, text_col: str, budget: int, out: str) -> DataFrame:
-    """df with the clipped text in column out."""
-    importable(df.sparkSession)
+def _continues(raw: Column, at: Column) -> Column:
+    """Whether the byte at a 1-based place continues a code point."""
+    return F.hex(F.substring(raw, at, F.lit(1))).between("80", "BF")
+
+
+def clip_bytes(text: Column, budget: Column | int) -> Column:
+    """The longest prefix of whole code points within a byte budget; a budget below 1 gives an empty text."""
+    raw, b = text.cast("binary"), (F.lit(budget) if isinstance(budget, int) else budget).cast("int")
+    cut = F.when(~_continues(raw, b + 1), b).when(~_continues(raw, b), b - 1).when(~_continues(raw, b - 1), b - 2).otherwise(b - 3)
+    return F.when(F.octet_length(text) <= b, text).when(b < 1, F.lit("")).otherwise(F.substring(raw, F.lit(1), F.greatest(cut, F.lit(0))).cast("string"))
 
-    @F.pandas_udf("string")
-    def clipped(text: pd.Series) -> pd.Series:
-        return pd.Series([clip_text(t or "", budget) for t in text])
 
-    return df.withColumn(out, clipped(F.col(text_col)))
+def clip_middle(text: Column, budget: Column | int) -> Column:
+    """Head and tail of whole code points within a byte budget, a mark between; a text that fits stays."""
+    raw, size = text.cast("binary"), F.octet_length(text)
+    b = (F.lit(budget) if isinstance(budget, int) else budget).cast("int")
+    half = F.floor(F.greatest(b - len(MARK.encode()), F.lit(0)) / 2).cast("int")
+    at = size - half + 1
+    at = F.when(~_continues(raw, at), at).when(~_continues(raw, at + 1), at + 1).when(~_continues(raw, at + 2), at + 2).otherwise(at + 3)
+    tail = F.when(half > 0, F.substring(raw, at, size).cast("string")).otherwise("")
+    return F.when(size <= b, text).otherwise(F.concat(clip_bytes(text, half), F.lit(MARK), tail))
 
 
-def greedy_pack(df: DataFrame, by: list[str], order: list[str], size: Column, budget: int, max_items: int | None = None, separator: int = 0, base: int = 0) -> DataFrame:
+def clip(df: DataFrame, text_col: str, budget: int, out: str) -> DataFrame:
+    """df with the clipped text in column out; null is empty."""
+    return df.withColumn(out, clip_middle(F.coalesce(F.col(text_col), F.lit("")), budget))
+
+
+def greedy_pack(df: DataFrame, by: list[str], order: list[str], size: Column, budget: int, max_items: int | None = None, separator: int = 0, base: int = 0, boundary: Column | None = None, distinct: str | None = None) -> DataFrame:
     """Packs each group's rows, in order, into batches: a row that would exceed the budget (or the count) opens a new one.
 
-    Returns df's columns with batch. The fold runs inside one expression, so a group is one row; groups are logs.
+    A row where `boundary` holds also opens one once the batch is half full; with `distinct`, max_items counts that column's
+    values instead of rows. Returns df's columns with batch. One shuffle by group and a sort; the fold then reads a partition as
+    a stream of Arrow batches and keeps a few numbers, however long a group is. A null size counts 0; nulls are one group.
     """
-    item = F.struct(*order, size.cast("long").alias("__n"), F.struct(*df.columns).alias("__row"))
-    start = F.struct(F.lit(-1).alias("b"), F.lit(0).cast("long").alias("cur"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("out"))
-
-    def add(a: Column, x: Column) -> Column:
-        full = (a["b"] < 0) | (a["cur"] + separator + x["__n"] > budget)
-        if max_items:
-            full = full | (a["k"] >= max_items)
-        b = F.when(full, a["b"] + 1).otherwise(a["b"])
-        return F.struct(b.alias("b"), F.when(full, base + x["__n"]).otherwise(a["cur"] + separator + x["__n"]).cast("long").alias("cur"), F.when(full, 1).otherwise(a["k"] + 1).alias("k"), F.concat(a["out"], F.array(b)).alias("out"))
-
-    rows = df.groupBy(*by).agg(F.sort_array(F.collect_list(item)).alias("__items"))
-    packed = rows.select(F.arrays_zip(F.transform("__items", lambda x: x["__row"]).alias("r"), F.aggregate("__items", start, add, lambda a: a["out"]).alias("b")).alias("__z"))
-    return packed.select(F.explode("__z").alias("__z")).select("__z.r.*", F.col("__z.b").alias("batch"))
+    importable(df.sparkSession)
+    at, marks = df.withColumn("__size", F.coalesce(size.cast("long"), F.lit(0))), F.lit(False) if boundary is None else F.coalesce(boundary, F.lit(False))
+    rows = at.withColumn("__mark", marks).withColumn("__item", F.col(distinct) if distinct else F.lit(None).cast("int"))
+    schema, names = StructType([*df.schema.fields, StructField("batch", IntegerType())]), df.columns
+
+    def fold(frames):
+        group, batch, used, items, last = None, -1, 0, 0, None
+        for frame in frames:
+            keys = zip(*[frame.column(c).to_pylist() for c in by], strict=True)
+            out = []
+            for key, n, mark, item in zip(keys, *[frame.column(c).to_pylist() for c in ("__size", "__mark", "__item")], strict=True):
+                fresh = distinct is None or item != last
+                if key != group:
+                    group, batch, opens = key, -1, True
+                else:
+                    opens = used + separator + n > budget or (mark and used >= budget // 2)
+                    opens = opens or (max_items is not None and fresh and items >= max_items)
+                if opens:
+                    batch, used, items = batch + 1, base + n, 1
+                else:
+                    used, items = used + separator + n, items + fresh
+                last = item
+                out.append(batch)
+            kept = [frame.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.int32())], names=[*names, "batch"])
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(fold, schema)
 
 
 def prefix_fit(df: DataFrame, by: list[str], order: list[Column], size: Column, budget: int, base: int = 2) -> DataFrame:
