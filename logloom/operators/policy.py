@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import null_safe_join, value_at_ranks
+
 
 def top_k_forced(answers: DataFrame, k: int, question: str = "question", option: str = "option", choice: str = "choice") -> DataFrame:
     """The k best options, the chosen one first, then by (p desc, option); a missing p counts as 0."""
@@ -50,8 +52,7 @@ def conformal_calibration(answers: DataFrame, truth: DataFrame, alpha: float = 0
         F.max(F.when((F.col("__r") == 1) & (F.col("option") == F.col("truth")), 1.0).otherwise(0.0)).alias("hit"), F.max("p").alias("top"),
         F.sum(F.pow(F.col("p") - F.when(F.col("option") == F.col("truth"), 1.0).otherwise(0.0), F.lit(2.0))).alias("b"),
     )
-    ranked = each.withColumn("__rank", F.row_number().over(Window.partitionBy(kind).orderBy("s", question))).withColumn("__n", F.count("*").over(Window.partitionBy(kind)))
-    at = F.ceil((F.col("__n") + 1) * F.lit(1.0 - alpha))
-    return ranked.groupBy(kind).agg(
-        F.count("*").alias("n"), F.coalesce(F.max(F.when(F.col("__rank") == at, F.col("s"))), F.lit(1.0)).alias("mass"), F.avg("hit").alias("top1_accuracy"), F.avg("top").alias("mean_max_probability"), F.avg("b").alias("brier")
-    )
+    # a few kinds hold all questions: the quantile is found by counting, not by sorting a kind
+    mass = value_at_ranks(each, [kind], "s", {"mass": lambda n: F.ceil((n + 1) * F.lit(1.0 - alpha))}).select(kind, F.coalesce("mass", F.lit(1.0)).alias("mass"))
+    means = each.groupBy(kind).agg(F.count("*").alias("n"), F.avg("hit").alias("top1_accuracy"), F.avg("top").alias("mean_max_probability"), F.avg("b").alias("brier"))
+    return null_safe_join(means, mass, [kind]).select(kind, "n", "mass", "top1_accuracy", "mean_max_probability", "brier")

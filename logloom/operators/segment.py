@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.workers import importable
+from .ranks import null_safe_join
 
 PIECES = "array<struct<part:int,start_byte:int,end_byte:int,piece:string>>"
 #: Fixed value: what stands for the part left out.
@@ -119,10 +120,18 @@ def greedy_pack(df: DataFrame, by: list[str], order: list[str], size: Column, bu
     return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(fold, schema)
 
 
-def prefix_fit(df: DataFrame, by: list[str], order: list[Column], size: Column, budget: int, base: int = 2) -> DataFrame:
-    """The longest prefix of each group whose sizes, one byte more each, fit; never skips a row."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("used_bytes", F.lit(base) + F.sum(size + 1).over(w)).where(F.col("used_bytes") <= budget)
+def prefix_fit(df: DataFrame, by: list[str], order: str, size: Column, budget: int, base: int = 2, chunk: int = 4096) -> DataFrame:
+    """The longest prefix of each group whose sizes, one byte more each, fit; never skips a row. order is a whole number, not null.
+
+    Sizes are summed by runs of `chunk` order values first; only runs that begin within the budget are read row by row.
+    """
+    placed = df.withColumn("__n", size + 1).withColumn("__run", F.floor(F.col(order) / chunk))
+    sums = placed.groupBy(*by, "__run").agg(F.sum("__n").alias("__s"))
+    before = Window.partitionBy(*by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    begun = sums.select(*by, "__run", (F.lit(base) + F.coalesce(F.sum("__s").over(before), F.lit(0))).alias("__begun")).where(F.col("__begun") <= budget)
+    w = Window.partitionBy(*by, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    fit = null_safe_join(placed, begun, [*by, "__run"]).withColumn("used_bytes", F.col("__begun") + F.sum("__n").over(w))
+    return fit.where(F.col("used_bytes") <= budget).select(*df.columns, "used_bytes")
 
 
 def read_span(text: Column, start: Column, end: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SECRET, jaccard, normalize_role, recipient, terms, tokens, wilson
-from ..operators import joins, metrics, policy, retrieval, search, segment
+from ..operators import joins, metrics, policy, ranks, retrieval, search, segment
 from . import adapters as A
 from .adapters import ctes
 
@@ -121,7 +121,7 @@ def content_sha(spark, d):
 @query("select doc_id, source, used_bytes from (select doc_id, source, (2 + sum(strlen(text) + 1) over (partition by source order by doc_id rows unbounded preceding))::bigint as used_bytes from documents) where used_bytes <= 9000")
 def prefix_fit_packet(spark, d):
     docs = A.load(spark, d, "documents").select("doc_id", "source", F.octet_length("text").cast("long").alias("n"))
-    return segment.prefix_fit(docs, ["source"], [F.col("doc_id")], F.col("n"), 9000).select("doc_id", "source", "used_bytes")
+    return segment.prefix_fit(docs, ["source"], "doc_id", F.col("n"), 9000).select("doc_id", "source", "used_bytes")
 
 
 @query("select source, coalesce(max(w) filter (total <= 30000), -1)::bigint as width from (select source, w, sum(least(strlen(text), w)) as total from documents, (values (1800), (900), (300), (80)) as t(w) group by 1, 2) group by 1")
@@ -370,11 +370,9 @@ def chance_level(spark, d):
 
 @query("select event_type, round(median(value), 6) as median, round(max(case when r = ceil(0.95::double * n) then value end), 6) as p95_nearest_rank, round(max(case when r = floor(0.95::double * (n - 1)) + 1 then value end), 6) as p95_floor_index from (select event_type, value::double as value, row_number() over (partition by event_type order by value, event_id) as r, count(*) over (partition by event_type) as n from events) group by 1")
 def median_p95(spark, d):
-    # five types hold all rows: exact percentiles aggregate before they shuffle, a window over a type would not
-    v = A.load(spark, d, "events").groupBy("event_type", F.col("value").cast("double").alias("v")).agg(F.count("*").alias("c"))
-    n = v.groupBy("event_type").agg(F.sum("c").alias("n"), F.round(F.expr("percentile(v, 0.5D, c)"), 6).alias("median"))
-    upto = v.withColumn("u", F.sum("c").over(Window.partitionBy("event_type").orderBy("v"))).join(n, "event_type")
-    return upto.groupBy("event_type").agg(F.first("median").alias("median"), F.round(F.min(F.when(F.col("u") >= F.ceil(0.95 * F.col("n")), F.col("v"))), 6).alias("p95_nearest_rank"), F.round(F.min(F.when(F.col("u") >= F.floor(0.95 * (F.col("n") - 1)) + 1, F.col("v"))), 6).alias("p95_floor_index"))
+    v = A.load(spark, d, "events").select("event_type", F.col("value").cast("double").alias("v"))
+    at = ranks.value_at_ranks(v, ["event_type"], "v", {"lo": lambda n: F.floor((n + 1) / 2), "hi": lambda n: F.ceil((n + 1) / 2), "p95": lambda n: F.ceil(0.95 * n), "p95_floor": lambda n: F.floor(0.95 * (n - 1)) + 1})
+    return at.select("event_type", F.round((F.col("lo") + F.col("hi")) / 2, 6).alias("median"), F.round("p95", 6).alias("p95_nearest_rank"), F.round("p95_floor", 6).alias("p95_floor_index"))
 
 
 @query(_SCORED + "select source, conv_id, step_error::bigint as step_error from scored where step_error is not null qualify row_number() over (partition by source order by step_error desc, conv_id) = 1")
@@ -386,23 +384,28 @@ _CASES = ctes("steps") + ", c as (select conv_id, conv_id % 5 as source, sum(n_b
 
 
 def _cases(spark, d):
-    c = A.steps(spark, d).groupBy("conv_id").agg(F.sum("n_bytes").alias("b")).withColumn("source", F.pmod("conv_id", F.lit(5)))
-    return c.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("b", "conv_id"))).withColumn("n", F.count("*").over(Window.partitionBy("source")))
+    c = A.steps(spark, d).groupBy("conv_id").agg(F.sum("n_bytes").alias("b"))
+    return c.withColumn("source", F.pmod("conv_id", F.lit(5)))
+
+
+def _ranked_cases(spark, d):
+    return ranks.grouped_rank(_cases(spark, d), ["source"], "b", "conv_id", "r")
 
 
 @query(_CASES + "select source, conv_id from k where r = 1")
 def smoke_sample(spark, d):
-    return _cases(spark, d).where("r = 1").select("source", "conv_id")
+    return _cases(spark, d).groupBy("source").agg(F.min_by("conv_id", F.struct("b", "conv_id")).alias("conv_id"))
 
 
 @query(_CASES + "select source, conv_id from k where r = n // 2 + 1")
 def pilot_sample(spark, d):
-    return _cases(spark, d).where(F.col("r") == F.floor(F.col("n") / 2) + 1).select("source", "conv_id")
+    n = _cases(spark, d).groupBy("source").agg((F.floor(F.count("*") / 2) + 1).alias("middle"))
+    return ranks.null_safe_join(_ranked_cases(spark, d), n, ["source"]).where("r = middle").select("source", "conv_id")
 
 
 @query(_CASES + "select source, conv_id, (r - 1) % 4 as shard from k")
 def shard_assign(spark, d):
-    return _cases(spark, d).select("source", "conv_id", F.pmod(F.col("r") - 1, F.lit(4)).cast("long").alias("shard"))
+    return _ranked_cases(spark, d).select("source", "conv_id", F.pmod(F.col("r") - 1, F.lit(4)).cast("long").alias("shard"))
 
 
 @query(ctes("calls") + "select case_id, count(*) as calls, sum(tokens)::bigint as tokens, case when count(cost) = count(*) then round(sum(cost), 4) end as cost, count(*) filter (phase = 'error') as errors, round(sum(tokens) * 0.042::double / 1e6, 9) as list_price from calls group by 1")
