@@ -49,12 +49,13 @@ def base32(hex_digest: Column) -> Column:
 
 
 def captures(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """(id, url, html, digest, refers_to): refers_to is the id that a revisit refers to. Only narrow rows are dealt by digest."""
+    """(id, url, html, digest, refers_to, refers_url): id and url of the response that a revisit refers to. Only narrow rows are dealt by digest."""
     html = F.coalesce(pages[html_col], F.lit(""))
     base = pages.select(pages[id_col].alias("id"), F.coalesce(pages[url_col], F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    narrow = base.select("id", "digest", F.octet_length("html").alias("n"))
-    firsts = narrow.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select(F.col("digest").alias("f_digest"), "first")
-    return base.join(firsts, F.col("digest") == F.col("f_digest"), "left").select("id", "url", "html", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    narrow = base.select("id", "url", "digest", F.octet_length("html").alias("n"))
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url")))
+    firsts = narrow.where(F.col("n") >= min_bytes).groupBy("digest").agg(first.alias("first"), F.count("*").alias("copies")).where("copies > 1").select(F.col("digest").alias("f_digest"), F.col("first.id").alias("first"), F.col("first.url").alias("refers_url"))
+    return base.join(firsts, F.col("digest") == F.col("f_digest"), "left").select("id", "url", "html", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"), "refers_url")
 
 
 def warc_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -66,11 +67,12 @@ def warc_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     answer_id, uri = record_id("response", *who), F.regexp_replace("url", r"[\x00-\x20]", "%20")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), length(F.col("html")), F.lit(CRLF * 2))
     revisit = F.col("refers_to").isNotNull()
-    # the response that a revisit refers to is known by its page id; the target's own url is not carried
+    # other readers follow the record id; the page id beside it spares the way back a join
+    referred = record_id("response", F.col("refers_to"), F.col("refers_url"), F.col("digest"))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     answer = F.concat(
         F.lit(f"WARC/1.1{CRLF}"), lines(("WARC-Type", F.when(revisit, "revisit").otherwise("response")), ("WARC-Record-ID", answer_id), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest)),
-        F.when(revisit, lines(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Page", F.coalesce(F.col("refers_to").cast("string"), F.lit(""))))).otherwise(F.lit("")),
+        F.when(revisit, lines(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", referred), ("WARC-Refers-To-Page", F.coalesce(F.col("refers_to").cast("string"), F.lit(""))))).otherwise(F.lit("")),
         lines(("Content-Type", "application/http; msgtype=response"), ("Content-Length", length(block))), F.lit(CRLF), block,
     )
     ask = F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{CRLF}User-Agent: logloom{CRLF * 2}"))

@@ -51,6 +51,16 @@ def test_line_frequency_rejects_depleted(spark):
     assert not any(rows[k].kept for k in range(12)) and rows[12].kept
 
 
+def test_revisits_refer_to_the_response_record(spark):
+    rows = [(5, "u5", "same"), (2, "u2", "same"), (9, "u9", "same"), (None, "n", "same"), (7, "u7", "other"), (None, "a", "void"), (None, "b", "void")]
+    texts = [r.value for r in warc.warc_records(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    head = lambda t, k: next((x.split(": ", 1)[1] for x in t.split("\r\n\r\n")[0].split("\r\n") if x.startswith(k + ": ")), None)
+    answers = {head(t, "WARC-Record-ID"): head(t, "WARC-Target-URI") for t in texts if head(t, "WARC-Type") == "response"}
+    revisits = [(head(t, "WARC-Target-URI"), answers[head(t, "WARC-Refers-To")], head(t, "WARC-Refers-To-Page")) for t in texts if head(t, "WARC-Type") == "revisit"]
+    assert sorted(revisits) == [("n", "u2", "2"), ("u5", "u2", "2"), ("u9", "u2", "2")]
+    assert sorted(answers.values()) == ["a", "b", "u2", "u7"]
+
+
 def test_warc_round_trip(spark):
     pages = spark.createDataFrame([(2, "u", "<p>é\r\n\r\nWARC/1.1\r\n</p>", 1), (1, "u v", "<p>é\r\n\r\nWARC/1.1\r\n</p>", 1), (3, None, None, 1), (4, "w", "", 1), (5, "w", "x" * 100_000, 1), (5, "w", "x" * 100_000, 1)], "page_id long, url string, html string, payload int")
     rows = {(r.metadata[0].payload or b"").decode(): r for r in warc.round_trip(pages).collect()}
