@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.workers import kept_once
+from .segment import greedy_pack
+
 
 def tournament_round(candidates: DataFrame, by: str, item: str, score: str, group: int = 8, keep: int = 3) -> DataFrame:
     """Candidates in order fall into groups; the best of each go on. Groups of at most keep pass whole."""
@@ -28,6 +33,30 @@ def tournament(candidates: DataFrame, by: str, item: str, score: str, limit: int
     return candidates
 
 
+def adaptive_tournament(candidates: DataFrame, by: str, item: str, score: str, size: str, unsure: str, budget: int, percent: int = 90, most: int = 250, rounds: int = 30) -> DataFrame:
+    """(by, item, status): groups packed to a context keep their mass sets, until a case's candidates fit one group.
+
+    A group whose mass set holds an unsure candidate keeps all. status is final (one group), final_context_ambiguity (a round
+    took nothing away, so the case abstains) or round_limit. All cases play a round at once; a round is kept, then asked
+    whether any case is left.
+    """
+    live, done = kept_once(candidates.select(by, item, score, size, unsure)), []
+    for _ in range(rounds):
+        group, case = Window.partitionBy(by, "batch"), Window.partitionBy(by)
+        ahead = group.orderBy(F.col(score).desc(), item).rowsBetween(Window.unboundedPreceding, -1)
+        chosen = F.coalesce(F.sum(score).over(ahead), F.lit(0)) * 100 < F.sum(score).over(group) * percent
+        played = greedy_pack(live, [by], [item], F.col(size), budget, most).withColumn("__in", chosen)
+        played = played.withColumn("__kept", F.col("__in") | F.bool_or(F.col("__in") & F.col(unsure)).over(group))
+        status = F.when(F.max("batch").over(case) == 0, "final").when(F.bool_and("__kept").over(case), "final_context_ambiguity")
+        judged = kept_once(played.withColumn("status", status))
+        done.append(judged.where("status is not null").select(by, item, "status"))
+        live = judged.where("status is null and __kept").select(by, item, score, size, unsure)
+        if live.isEmpty():
+            break
+    done.append(live.select(by, item, F.lit("round_limit").alias("status")))
+    return reduce(DataFrame.unionByName, done)
+
+
 def budget_stop(calls: DataFrame, case: str, order: list[str], tokens: str, max_calls: int, max_tokens: int, reserve_calls: int = 0, reserve_tokens: int = 0) -> DataFrame:
     """(case, stop_at, reason): the first call of each case that a budget refuses, in the order calls, tokens; null if none."""
     w = Window.partitionBy(case).orderBy(*order)

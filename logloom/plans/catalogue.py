@@ -141,7 +141,7 @@ def segment_tree(spark, d):
     return segment.segment_tree(c, "source", "n")
 
 
-@query("select source, count(*)::bigint as n_leaves, true as covers from documents group by 1")
+@query(_TREE + "select source, count(*)::bigint as n_leaves, count(distinct start_seg) = count(*) and min(start_seg) = 0 and max(end_seg) = max(n) as covers from t join c using (source) where end_seg - start_seg = 1 group by 1")
 def tree_audit(spark, d):
     c = A.load(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
     leaves = segment.segment_tree(c, "source", "n").where("end_seg - start_seg = 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import segment, spans
+from ..operators import search, segment, spans
 from . import adapters as A
 from .catalogue import query
 from .evidence import SIGNALS
@@ -132,3 +132,10 @@ t as (select conv_id, rounds, sum(a)::bigint as total from k group by 1, 2), f a
 select c.conv_id, rounds, total from (select distinct conv_id from steps) c left join f using (conv_id)""")
 def shrink_to_fit(spark, d):
     return spans.shrink_rounds(A.steps(spark, d), "conv_id", F.col("n_bytes"), 250, least=20)
+
+
+@query()
+def adaptive_tournament(spark, d):
+    """Steps are candidates, their bytes the score and the room that they take; a system message is never sure."""
+    s = A.steps(spark, d).select("conv_id", "step", "n_bytes", (F.col("n_bytes") + 100).alias("room"), (F.col("role") == "system").alias("unsure"))
+    return search.adaptive_tournament(s, "conv_id", "step", "n_bytes", "room", "unsure", 600, 80)

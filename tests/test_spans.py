@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.operators import segment
+from logloom.operators import search, segment
 from logloom.operators import spans as S
 from logloom.plans import catalogue
 from logloom.plans import spans as plans
@@ -170,3 +170,40 @@ def test_pack_keeps_columns_and_counts_across_batches(spark):
             used, k = used + r.n, k + 1
         assert r.batch == batch and r.batch_note == "x"
     assert len(got) == 500
+
+
+def _plain_tournament(items, budget, percent):
+    """items: (item, score, size, unsure) of one case; what is left, and why it ended."""
+    items = sorted(items)
+    while True:
+        groups, used = [], 0
+        for x in items:
+            if not groups or used + x[2] > budget:
+                groups, used = [*groups, []], 0
+            groups[-1].append(x)
+            used += x[2]
+        if len(groups) == 1:
+            return {(x[0], "final") for x in items}
+        left = []
+        for g in groups:
+            mass, kept = 0, []
+            for x in sorted(g, key=lambda x: (-x[1], x[0])):
+                if mass * 100 >= percent * sum(y[1] for y in g):
+                    break
+                mass, kept = mass + x[1], [*kept, x]
+            left += g if any(x[3] for x in kept) else kept
+        if len(left) == len(items):
+            return {(x[0], "final_context_ambiguity") for x in items}
+        items = sorted(left)
+
+
+def test_adaptive_tournament_against_a_plain_loop(spark):
+    rows = [(c, i, (i * 37 + c * 11) % 23 + 1, 10 + (i * 7) % 15, c == 3 or (c == 2 and i % 13 == 0)) for c in range(1, 5) for i in range(40)]
+    rows += [(9, i, 5, 30, False) for i in range(6)] + [(8, 0, 1, 500, False)]
+    df = spark.createDataFrame(rows, "c int, i int, s int, n int, u boolean")
+    got = {}
+    for r in search.adaptive_tournament(df, "c", "i", "s", "n", "u", 60, 70).collect():
+        got.setdefault(r.c, set()).add((r.i, r.status))
+    want = {c: _plain_tournament([r[1:] for r in rows if r[0] == c], 60, 70) for c in {r[0] for r in rows}}
+    assert got == want
+    assert len({status for x in want.values() for _, status in x}) == 2
