@@ -17,8 +17,11 @@ def importable(spark: SparkSession) -> None:
 
 
 def kept_once(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder, spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """A reliable checkpoint in the shared folder, spark.checkpoint.dir, or a new one where that is unset and all is on one machine."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="logloom-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="logloom-"))
     return df.checkpoint(eager=True)
