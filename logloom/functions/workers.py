@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,11 +18,17 @@ def importable(spark: SparkSession) -> None:
 
 
 def kept_once(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder, spark.checkpoint.dir, or a new one where that is unset and all is on one machine."""
-    sc = df.sparkSession.sparkContext
+    """df, computed once and read back from the shared folder, spark.checkpoint.dir, or a new one where that is unset and all is on one machine.
+
+    A written table outlives executors as a checkpoint does, and df is computed once for it instead of twice.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="logloom-"))
-    return df.checkpoint(eager=True)
+    path = f"{sc.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

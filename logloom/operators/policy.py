@@ -30,6 +30,17 @@ def valid_distributions(answers: DataFrame, question: str = "question") -> DataF
     return answers.groupBy(question).agg((F.min(ok.cast("int")) == 1).alias("sane"), (F.count("*") == F.countDistinct("option")).alias("once"), F.sum("p").alias("total")).select(question, (F.col("sane") & F.col("once") & (F.abs(F.col("total") - 1.0) <= 0.025)).alias("valid"))
 
 
+def judge_answers(offered: DataFrame, answers: DataFrame, question: str = "question") -> DataFrame:
+    """(question, verdict) of every question that was asked: options (not the offered ones, each once), choice (not offered), probability (null or outside 0 to 1), sum, or ok."""
+    told = answers.select(question, "option", "p", "choice", F.lit(1).alias("__told"))
+    j = offered.select(question, "option", F.lit(1).alias("__asked")).join(told, [question, "option"], "full")
+    same = F.col("__told").isNotNull() & F.col("__asked").isNotNull()
+    sane = F.coalesce(F.col("p").between(0.0, 1.0) & ~F.isnan("p"), F.lit(False))
+    g = j.groupBy(question).agg((F.bool_and(same) & (F.count("*") == F.countDistinct("option"))).alias("same"), F.bool_or(F.col("option") == F.col("choice")).alias("listed"), F.bool_and(sane).alias("sane"), F.sum("p").alias("total"), F.max("__asked").alias("asked"))
+    verdict = F.when(~F.col("same"), "options").when(~F.coalesce("listed", F.lit(False)), "choice").when(~F.col("sane"), "probability").when(F.abs(F.col("total") - 1.0) > 0.025, "sum").otherwise("ok")
+    return g.where("asked is not null").select(question, verdict.alias("verdict"))
+
+
 def entropy_argmax(answers: DataFrame, question: str = "question") -> DataFrame:
     """(question, n_options, best, best_p, entropy): entropy over its maximum; 0 with one option."""
     w = Window.partitionBy(question).orderBy(F.col("p").desc(), "option")

@@ -65,3 +65,18 @@ def budget_stop(calls: DataFrame, case: str, order: list[str], tokens: str, max_
     why = F.when(n > max_calls - reserve_calls, F.lit("call_budget" if not reserve_calls else "reserved_final_calls")).when(used + F.col(tokens) > max_tokens - reserve_tokens, F.lit("input_token_budget" if not reserve_tokens else "reserved_final_tokens"))
     each = calls.withColumn("__n", n).withColumn("__why", why)
     return each.groupBy(case).agg(F.min(F.when(F.col("__why").isNotNull(), F.struct(F.col("__n").alias("n"), F.col("__why").alias("why")))).alias("s")).select(case, F.col("s.n").cast("long").alias("stop_at"), F.col("s.why").alias("reason"))
+
+
+def session_stop(calls: DataFrame, case: str, order: list[str], size: str, tokens: str, max_calls: int, max_bytes: int, max_tokens: int, request_bytes: int) -> DataFrame:
+    """(case, stop_at, reason): the first request that is refused; null if none.
+
+    In this order: a request too large by itself, the number of calls, bytes sent with it, and tokens used before it. A null or
+    negative token count is invalid usage and stops at the request after which it was reported.
+    """
+    w = Window.partitionBy(case).orderBy(*order)
+    ahead = w.rowsBetween(Window.unboundedPreceding, -1)
+    n, sent = F.row_number().over(w), F.coalesce(F.sum(size).over(ahead), F.lit(0))
+    used = F.coalesce(F.sum(tokens).over(ahead), F.lit(0))
+    why = F.when(F.col(size) > request_bytes, "request_context_limit").when(n > max_calls, "call_budget").when(sent + F.col(size) > max_bytes, "request_byte_budget").when(used >= max_tokens, "input_token_budget").when(F.col(tokens).isNull() | (F.col(tokens) < 0), "invalid_usage")
+    first = F.min(F.when(F.col("__why").isNotNull(), F.struct(F.col("__n").alias("n"), F.col("__why").alias("why"))))
+    return calls.withColumn("__n", n).withColumn("__why", why).groupBy(case).agg(first.alias("s")).select(case, F.col("s.n").cast("long").alias("stop_at"), F.col("s.why").alias("reason"))
