@@ -15,7 +15,7 @@ TERM = r"[\p{L}\p{N}\p{M}_./:-]{3,}"
 #: Words that are no evidence, and words of a repair.
 STOPWORDS = "the a an to of for is are was be and or in on it this that with from as by not".split()
 REPAIR = r"(?iu)fix|repair|correct|test|verify|validat|pass|fail|修复|验证|测试|失败"
-#: Patterns of credentials.
+#: Common forms of credentials.
 SECRET = r"(?i)(sk-[a-z0-9]{16,}|AKIA[0-9A-Z]{16}|ghp_[a-z0-9]{20,}|api[_-]?key\s*[:=]\s*\S{8,}|password\s*[:=]\s*\S{4,})"
 
 
@@ -54,5 +54,25 @@ def wilson(p: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column,
     return (mid - half) / den, (mid + half) / den
 
 
+def redact(text: Column) -> Column:
+    """text with every credential replaced."""
+    return F.regexp_replace(text, SECRET, "[REDACTED]")
+
+
+def percent(share: Column, digits: int = 1) -> Column:
+    """A share as a percentage with a fixed number of digits, halves to even as a report's formatting rounds; a null share is a dash."""
+    return F.when(share.isNull(), F.lit("—")).otherwise(F.concat(F.format_string(f"%.{digits}f", F.bround(share * 100, digits)), F.lit("%")))
+
+
+def thousands(n: Column) -> Column:
+    return F.format_number(n, 0)
+
+
+def iso_utc(seconds: Column) -> Column:
+    """Unix seconds as an ISO time in UTC, whatever the session's time zone is."""
+    local = F.timestamp_seconds(seconds)
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), local.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)).cast("double")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.segment import clip_middle
+
 STEP = "array<struct<step:int,name:string,role:string,content:string>>"
 CASE = f"question_ID string, mistake_agent string, mistake_step int, history {STEP}"
 
@@ -30,9 +34,10 @@ def read_cases(spark: SparkSession, root: str, manifest: DataFrame) -> tuple[Dat
     return judged.where("reason is null").select("case.*", "source"), judged.where("reason is not null").select("path", "reason")
 
 
-def explode_steps(cases: DataFrame) -> DataFrame:
-    """One row for each step; labels aren't among the columns."""
-    return cases.select("question_ID", "source", F.explode("history").alias("h")).select("question_ID", "source", "h.*")
+def explode_steps(cases: DataFrame, budget: int | None = None) -> DataFrame:
+    """One row for each step, its content clipped to a budget of bytes if there is one; labels aren't among the columns."""
+    rows = cases.select("question_ID", "source", F.explode("history").alias("h")).select("question_ID", "source", "h.*")
+    return rows if budget is None else rows.withColumn("content", clip_middle(F.coalesce("content", F.lit("")), budget))
 
 
 def read_predictions(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -78,17 +83,108 @@ def config_digest(config: dict[str, Any]) -> str:
 
 
 def freeze_config(spark: SparkSession, path: str, run: str, config: dict[str, Any]) -> str:
-    """Records a run's configuration; a run whose recorded one differs is refused."""
+    """Records a run's configuration; a run whose recorded one differs is refused.
+
+    A run's record is a file of its own, made only if it isn't there yet, so of two runs that start at once one makes it and the
+    other reads it.
+    """
     own = config_digest(config)
-    schema = "run string, digest string, config string"
-    try:
-        known = {r.digest for r in spark.read.schema(schema).parquet(path).where(F.col("run") == run).collect()}
-    except Exception as e:  # nothing is recorded yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        known = set()
-    if known - {own}:
-        raise ValueError(f"run {run} was begun with another configuration")
-    if not known:
-        spark.createDataFrame([(run, own, json.dumps(config, sort_keys=True))], schema).coalesce(1).write.mode("append").parquet(path)
+    name = f"{path}/{hashlib.sha256(run.encode()).hexdigest()}.json"
+    if not _create(spark, name, json.dumps({"run": run, "digest": own, "config": config}, sort_keys=True, ensure_ascii=False)):
+        if json.loads(read_text(spark, name))["digest"] != own:
+            raise ValueError(f"run {run} was begun with another configuration")
     return own
+
+
+def _place(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """(file system, path) of a path of any scheme."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file whole unless it is there; whether it was made."""
+    fs, at = _place(spark, path)
+    if fs.exists(at):
+        return False
+    draft = f"{path}.{uuid.uuid4().hex}.tmp"
+    _write(spark, draft, text)
+    try:  # without OVERWRITE a rename onto a file is refused
+        _rename(spark, draft, path, over=False)
+    except Py4JJavaError:
+        fs.delete(_place(spark, draft)[1], False)
+        if not fs.exists(at):
+            raise
+        return False
+    return True
+
+
+def _write(spark: SparkSession, path: str, text: str) -> None:
+    fs, at = _place(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _rename(spark: SparkSession, draft: str, path: str, over: bool) -> None:
+    jvm, (fs, at) = spark._jvm, _place(spark, path)
+    kind = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, int(over))
+    if over:
+        how[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(_place(spark, draft)[1], at, how)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def write_json(spark: SparkSession, path: str, value: Any) -> None:
+    """A small JSON file that readers see whole, the old one or the new one: written aside, then renamed over it."""
+    draft = f"{path}.{uuid.uuid4().hex}.tmp"
+    _write(spark, draft, json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n")
+    _rename(spark, draft, path, over=True)
+
+
+def write_json_rows(df: DataFrame, path: str, gzip: bool = True) -> None:
+    """A row a line, read back by read_predictions or read_jsonl."""
+    df.write.mode("overwrite").option("compression", "gzip" if gzip else "none").json(path)
+
+
+def count_lines(spark: SparkSession, path: str) -> int:
+    """Lines that say anything, as a log of retries is counted."""
+    return spark.read.text(path).agg(F.count_if(F.trim("value") != "")).first()[0]
+
+
+def splice_section(text: str, title: str, marker: str, section: str) -> str:
+    """A report with the section put before the marker, in place of an older one that begins with the title.
+
+    Without the marker the section goes to the end; of several markers the first after the old section counts.
+    """
+    start = text.find(title)
+    if start >= 0:
+        end = text.find(marker, start)
+        text = text[:start] + (text[end:] if end >= 0 else "")
+    before, found, after = text.partition(marker)
+    return f"{before}{section}\n{found}{after}"
+
+
+def check_no_labels(df: DataFrame, labels: tuple[str, ...] = ("mistake_agent", "mistake_step", "mistake_reason", "ground_truth")) -> DataFrame:
+    """df itself, refused if a label is among its columns or the fields of its structs, at any depth."""
+
+    def names(kind: T.DataType) -> set[str]:
+        if isinstance(kind, T.StructType):
+            return {f.name for f in kind.fields}.union(*[names(f.dataType) for f in kind.fields])
+        if isinstance(kind, T.ArrayType):
+            return names(kind.elementType)
+        if isinstance(kind, T.MapType):
+            return names(kind.keyType) | names(kind.valueType)
+        return set()
+
+    leaked = names(df.schema) & set(labels)
+    if leaked:
+        raise ValueError(f"labels among what a model would see: {sorted(leaked)}")
+    return df
