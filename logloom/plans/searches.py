@@ -187,7 +187,7 @@ def action_choice(spark, d):
         F.create_map(F.lit("upstream"), (k % 3).cast("int"), F.lit("repair"), (k % 3).cast("int"), F.lit("challenge"), (k % 3).cast("int")).alias("pages"),
         F.create_map(F.lit("assessment"), said).alias("labels"), F.ceil(F.col("n_bytes") / 200).cast("int").alias("unread"),
     )
-    return frontier.choose(n, F.col("n_bytes") + 100).select("conv_id", "step", "action")
+    return frontier.choose(n, F.col("n_bytes") + 100).select("conv_id", F.col("step").cast("long").alias("step"), "action")
 
 
 @query(ctes("steps") + "select conv_id, case when 2 + sum(n_bytes + 1) <= 2000 then 'all_eligible_original_text' else 'global_rrf_mmr_excerpts' end as strategy, count(*) as n_eligible, (2 + sum(n_bytes + 1))::bigint as full_bytes from steps where step <> 1 group by 1")
