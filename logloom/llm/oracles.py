@@ -99,4 +99,24 @@ select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) |
 from p group by conv_id
 """
 
-ORACLES: dict[str, str] = {"op2_line_frequency": _OP2, "op3_warc_transactions": _OP3, "op4_line_runs": _OP4, "op6_prefix_targets": _OP6}
+_OP12 = """
+with d as (
+  select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(doc_id::varchar, '')) as x from documents
+), h as (
+  select doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') as u,
+    ('0x' || substr(x, 1, 8))::bigint as h1, ('0x' || substr(x, 9, 8))::bigint as h2, ('0x' || substr(x, 17, 8))::bigint as h3, ('0x' || substr(x, 25, 8))::bigint as h4
+  from d
+), c as (
+  select doc_id, t, u, len(u) as n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as b,
+    case when t = '' or regexp_matches(t, '<[PSM]>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from h
+), p as (
+  select *, array_to_string(u[1:a], '') as pre, array_to_string(u[a + 1:b], '') as mid, array_to_string(u[b + 1:n], '') as suf from c
+)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(pre)::bigint end as prefix_chars, case when form <> 'plain' then length(mid)::bigint end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(t) as restored_sha256
+from p
+"""
+
+ORACLES: dict[str, str] = {"op2_line_frequency": _OP2, "op3_warc_transactions": _OP3, "op4_line_runs": _OP4, "op6_prefix_targets": _OP6, "op12_distinct_index": _OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, line_dedup, mil, minhash, mixing, quality_rules, simhash, warc
+from . import bpe, chat, fim, langid, line_dedup, mil, minhash, mixing, quality_rules, simhash, warc
 from .common import crc_mod, table
 
 #: The tokenizer's file; a parameter of the operator.
@@ -95,8 +95,20 @@ def op10_block_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
+def op12_distinct_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = fim.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+NAMED = (
+    op1_attention_quality, op2_line_frequency, op3_warc_transactions, op4_line_runs, op5_bpe_automaton, op6_prefix_targets, op7_simhash,
+    op8_language_codes, op9_chosen_path, op10_block_mixture, op12_distinct_index,
+)
+
+
 def queries() -> dict:
-    found = {f.__name__: f for f in (op1_attention_quality, op2_line_frequency, op3_warc_transactions, op4_line_runs, op5_bpe_automaton, op6_prefix_targets, op7_simhash, op8_language_codes, op9_chosen_path, op10_block_mixture)}
+    found = {f.__name__: f for f in NAMED}
     import corpus_pipeline
 
     return found | {"pipeline": corpus_pipeline.run}
