@@ -119,4 +119,56 @@ select doc_id, n::bigint as n, form, case when form <> 'plain' then length(pre):
 from p
 """
 
-ORACLES: dict[str, str] = {"op2_line_frequency": _OP2, "op3_warc_transactions": _OP3, "op4_line_runs": _OP4, "op6_prefix_targets": _OP6, "op12_distinct_index": _OP12}
+#: CRC-32 of the ASCII text k, a bit at a time.
+_CRC = """xor(list_reduce([4294967295::bigint] || list_transform(string_split(k, ''), lambda x: unicode(x)::bigint),
+  lambda c, b: list_reduce([xor(c, b)] || range(8), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+
+_OP13 = rf"""
+with recursive raw as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    crc32_code as code from (
+      select *, {_CRC} % 20 as crc32_code from (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations))
+), hurt as (
+  select conv_id, turn, case code when 4 then 'user' else role end as role,
+    case code when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+  from raw, (values (1), (2)) as copies(k) where code <> 0 and (k = 1 or code = 3)
+), o as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from hurt
+), f as (
+  select *, left(role, 1) as l, lag(left(role, 1)) over (partition by conv_id order by i) as before,
+    case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+      when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+      when regexp_extract(text, '([^\x20\x09-\x0D]){_SPACE}*$', 1) not in ('.', '!', '?') then 'truncated' else '' end as fault
+  from o
+), inserts(st, k, mid, told) as (
+  values ('0', 0, '0', ''), ('0', 1, 'u', 'user:|'), ('0', 2, 'a', 'user:|assistant:|'), ('s', 0, 's', ''), ('s', 1, 'u', 'user:|'), ('s', 2, 'a', 'user:|assistant:|'),
+    ('u', 0, 'u', ''), ('u', 1, 'a', 'assistant:|'), ('u', 2, 'u', 'assistant:|user:|'), ('a', 0, 'a', ''), ('a', 1, 'u', 'user:|'), ('a', 2, 'a', 'user:|assistant:|')
+), edits(mid, e, l, nxt, gives) as (
+  values ('0', 'K', 's', 's', ''), ('0', 'K', 'u', 'u', ''), ('s', 'K', 'u', 'u', ''), ('u', 'K', 'a', 'a', ''), ('a', 'K', 'u', 'u', ''),
+    ('0', 'R', '', 'u', 'user'), ('s', 'R', '', 'u', 'user'), ('u', 'R', '', 'a', 'assistant'), ('a', 'R', '', 'u', 'user'),
+    ('0', 'D', '', '0', ''), ('s', 'D', '', 's', ''), ('u', 'D', '', 'u', ''), ('a', 'D', '', 'a', '')
+), walk as (
+  select conv_id, 0::bigint as i, '0' as st, {{'cost': 0::bigint, 'audit': '', 'told': ''}} as best from (select distinct conv_id from conversations)
+  union all
+  select w.conv_id, f.i, e.nxt as st, min({{
+      'cost': (w.best.cost + 3 * n.k + case e.e when 'D' then 4 when 'R' then 3 else 0 end + case when e.e <> 'D' and f.fault = 'truncated' then 3 else 0 end)::bigint,
+      'audit': w.best.audit || repeat('I', n.k) || e.e,
+      'told': w.best.told || replace(n.told, '|', chr(10)) || case e.e when 'K' then f.role || ':' || f.text || chr(10) when 'R' then e.gives || ':' || f.text || chr(10) else '' end}}) as best
+  from walk w join f on f.conv_id is not distinct from w.conv_id and f.i = w.i + 1 join inserts n on n.st = w.st
+    join edits e on e.mid = n.mid and (e.e = 'D' or (f.fault not in ('blank', 'duplicate') and (e.e = 'R' or e.l = f.l)))
+  group by w.conv_id, f.i, e.nxt
+), sizes as (
+  select conv_id, max(i) as n from walk group by conv_id
+), done as (
+  select w.conv_id, min({{'cost': w.best.cost + 3 * n.k, 'audit': w.best.audit || repeat('I', n.k), 'told': w.best.told || replace(n.told, '|', chr(10))}}) as best
+  from walk w join sizes s on s.conv_id is not distinct from w.conv_id and s.n = w.i join inserts n on n.st = w.st and n.mid in ('0', 'a') group by w.conv_id
+), counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (before is not null and before || l not in ('su', 'ua', 'au')) as illegal from f group by conv_id
+)
+select d.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, d.best.cost::bigint as cost, d.best.audit as audit, sha256(regexp_replace(d.best.told, chr(10) || '$', '')) as repaired_sha256
+from done d left join counts c on c.conv_id is not distinct from d.conv_id
+"""
+
+ORACLES: dict[str, str] = {"op2_line_frequency": _OP2, "op3_warc_transactions": _OP3, "op4_line_runs": _OP4, "op6_prefix_targets": _OP6, "op12_distinct_index": _OP12, "op13_rank_dp": _OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fim, langid, line_dedup, mil, minhash, mixing, quality_rules, simhash, warc
+from . import bpe, chat, fim, langid, line_dedup, mil, minhash, mixing, packing, quality_rules, simhash, turn_repair, warc
 from .common import crc_mod, table
 
 #: The tokenizer's file; a parameter of the operator.
@@ -95,15 +95,39 @@ def op10_block_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
+def op11_queue_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), bpe.load_vocabulary(tokenizer_path()))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op12_distinct_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.fill_in_middle(table(spark, sf_dir, "documents"))
     restored = fim.restore(F.col("output"), F.col("form"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
+def op13_rank_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    hurt = turn_repair.damage(turns)
+    repaired = turn_repair.repair(hurt)
+    written = F.transform("repaired", lambda x: F.concat(x["role"], F.lit(":"), x["text"]))
+    is_fault = lambda k: F.when(F.col("fault") == k, F.lit(1)).otherwise(F.lit(0))
+    more = F.when(F.col("fault").isin("blank", "duplicate"), F.lit(0)).otherwise(F.col("copies") - 1)  # copies behind the first
+    counts = {"blank": is_fault("blank") * F.col("copies"), "duplicate": is_fault("duplicate") * F.col("copies") + more, "truncated": is_fault("truncated"), "illegal": F.col("illegal"), "cost": F.col("cost")}
+    piece = F.struct("pos", "edits", written.alias("written"))
+    rows = repaired.select("conv_id", *[v.cast("long").alias(k) for k, v in counts.items()], F.lit(None).cast("long").alias("gaps"), piece.alias("piece"))
+    seen = hurt.select("conv_id", "turn").distinct().groupBy("conv_id").agg((F.max("turn") - F.min("turn") + 1 - F.count("turn")).alias("gaps"))
+    known = turns.select("conv_id").distinct().withColumn("gaps", F.lit(0).cast("long"))
+    both = rows.unionByName(seen.unionByName(known), allowMissingColumns=True)  # a conversation of which no row is left has zeros
+    whole = both.groupBy("conv_id").agg(F.max("gaps").alias("gaps"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in counts], F.sort_array(F.collect_list("piece")).alias("pieces"))
+    audit = F.array_join(F.transform("pieces", lambda p: p["edits"]), "")
+    text = F.array_join(F.flatten(F.transform("pieces", lambda p: p["written"])), "\n")
+    return whole.select("conv_id", "gaps", *counts, audit.alias("audit"), F.sha2(text, 256).alias("repaired_sha256"))
+
+
 NAMED = (
     op1_attention_quality, op2_line_frequency, op3_warc_transactions, op4_line_runs, op5_bpe_automaton, op6_prefix_targets, op7_simhash,
-    op8_language_codes, op9_chosen_path, op10_block_mixture, op12_distinct_index,
+    op8_language_codes, op9_chosen_path, op10_block_mixture, op11_queue_packing, op12_distinct_index, op13_rank_dp,
 )
 
 
