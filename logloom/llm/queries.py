@@ -31,17 +31,17 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_warc(spark, warc.write_warc(warc.warc_records(table(spark, sf_dir, "pages")), warc.scratch(spark, "warc")))
-    # of a payload only its digest goes on; metadata keeps its few bytes
-    kind = F.col("type")
-    payload = F.when(kind == "metadata", F.col("payload").cast("string")).otherwise(F.sha1("payload"))
-    c = warc.assemble(records, payload=payload)
-    page = F.expr("try_cast(nullif(regexp_extract(metadata[0].payload, 'page-id: ([^\\r\\n]*)', 1), '') as bigint)")
+    # archives are parsed once: of a payload only its digest goes on; metadata keeps its few bytes
+    payload = F.when(F.col("type") == "metadata", F.col("payload").cast("string")).otherwise(F.sha1("payload"))
+    c = warc.assemble(warc.stored(records.withColumn("payload", payload).withColumn("block_headers", F.lit(None).cast("string")), "warc-records"))
     revisit = F.col("response.type") == "revisit"
-    return c.select(
-        page.alias("page_id"), F.col("response.http_length").alias("payload_bytes"),
+    told = c.select(
+        "record_id", warc.page_of(F.col("metadata")[0]["payload"]).alias("page_id"), F.col("response.http_length").alias("payload_bytes"),
         F.when(revisit, F.col("response.payload_digest")).otherwise(warc.base32(F.col("response.payload"))).alias("payload_digest"),
-        F.col("response.type").alias("record_type"), F.when(revisit, F.col("response.refers_to").cast("long")).alias("refers_to"),
+        F.col("response.type").alias("record_type"), F.when(revisit, F.col("response.refers_to_record")).alias("refers_to"),
     )
+    met = warc.referred(warc.stored(told, "warc-captures"))
+    return met.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_page").alias("refers_to"))
 
 
 def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ separator of the text writer. `read_warc` parses archives (plain or gzip, of any
 joins request, response and metadata through WARC-Concurrent-To into one nested row for each capture.
 
 Defined cases: a null payload is empty; a null url is written as an empty target; rows that repeat id, url and payload
-are one capture; a null id is a capture of its own id. Of equal payloads of at least `min_bytes` bytes the one with
-the smallest id (null last) is the response, the others revisit it. An empty table gives no records.
+are captures of their own, told apart by a number in their record ids; a null id is a capture of its own id. Of equal
+payloads of at least `min_bytes` bytes the one with the smallest id (null last), then url, is the response, the others
+revisit it. An empty table gives no records.
 """
 
 from __future__ import annotations
@@ -18,19 +19,20 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, scratch, ship
+from .common import pick, scratch, ship, stored
 
 CRLF = "\r\n"
-RECORD = "record_id string, concurrent_to string, type string, uri string, date string, refers_to string, payload_digest string, content_length long, http_length long, block_headers string, payload binary"
+RECORD = "record_id string, concurrent_to string, type string, uri string, date string, refers_to string, refers_to_record string, payload_digest string, content_length long, http_length long, block_headers string, payload binary"
 DATE = "2024-01-01T00:00:00Z"
 
 
 def record_id(kind: str, *cols: Column) -> Column:
     """A urn:uuid that depends on the capture and the kind of record only; a retried task writes the same."""
-    h = F.sha1(F.concat_ws("|", F.lit(kind), *[F.coalesce(c.cast("string"), F.lit("\u0000")) for c in cols]))
+    told = [F.coalesce(c.cast("string"), F.lit("\u0000")) for c in cols[:3]] + [c.cast("string") for c in cols[3:]]  # a first copy has no number
+    h = F.sha1(F.concat_ws("|", F.lit(kind), *told))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
@@ -49,25 +51,36 @@ def base32(hex_digest: Column) -> Column:
 
 
 def captures(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """(id, url, html, digest, refers_to, refers_url): id and url of the response that a revisit refers to. Only narrow rows are dealt by digest."""
+    """(id, url, html, digest, copy, refers_to, refers_url): id and url of the response that a revisit refers to.
+
+    Only narrow rows are dealt by digest. Rows that repeat id, url and payload, if there are any, are numbered by `copy` from 1.
+    """
     html = F.coalesce(pages[html_col], F.lit(""))
     base = pages.select(pages[id_col].alias("id"), F.coalesce(pages[url_col], F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    narrow = base.select("id", "url", "digest", F.octet_length("html").alias("n"))
+    same = base.select("id", "url", "digest", F.octet_length("html").alias("n")).groupBy("id", "url", "digest", "n").agg(F.count("*").alias("copies"))
+    shared = same.where(F.col("n") >= min_bytes)
     first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "url")))
-    firsts = narrow.where(F.col("n") >= min_bytes).groupBy("digest").agg(first.alias("first"), F.count("*").alias("copies")).where("copies > 1").select(F.col("digest").alias("f_digest"), F.col("first.id").alias("first"), F.col("first.url").alias("refers_url"))
-    return base.join(firsts, F.col("digest") == F.col("f_digest"), "left").select("id", "url", "html", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"), "refers_url")
+    firsts = shared.groupBy("digest").agg(first.alias("first"), F.sum("copies").alias("copies")).where("copies > 1").select(F.col("digest").alias("f_digest"), F.col("first.id").alias("first"), F.col("first.url").alias("refers_url"))
+    repeated = stored(same.where("copies > 1").select(F.col("id").alias("r_id"), F.col("url").alias("r_url"), F.col("digest").alias("r_digest")), "repeated")
+    numbered = base.withColumn("copy", F.lit(1))
+    if not repeated.isEmpty():
+        is_same = F.col("id").eqNullSafe(F.col("r_id")) & (F.col("url") == F.col("r_url")) & (F.col("digest") == F.col("r_digest"))
+        copies = base.join(repeated, is_same, "left_semi").withColumn("copy", F.row_number().over(Window.partitionBy("id", "url", "digest").orderBy(F.lit(1))))
+        numbered = base.join(repeated, is_same, "left_anti").withColumn("copy", F.lit(1)).unionByName(copies)
+    answers = F.col("id").eqNullSafe(F.col("first")) & (F.col("first").isNull() | ((F.col("url") == F.col("refers_url")) & (F.col("copy") == 1)))
+    met = numbered.join(firsts, F.col("digest") == F.col("f_digest"), "left")
+    return met.select("id", "url", "html", "digest", "copy", F.when(~answers, F.col("first")).alias("refers_to"), "refers_url")
 
 
 def warc_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """One row for each WARC record, its text without the closing CRLF CRLF."""
     c = captures(pick(pages, [id_col, url_col, html_col]), id_col, url_col, html_col, min_bytes)
-    who = (F.col("id"), F.col("url"), F.col("digest"))
+    who = (F.col("id"), F.col("url"), F.col("digest"), F.when(F.col("copy") > 1, F.col("copy")))
     length = lambda x: F.octet_length(x).cast("string")
     digest = F.concat(F.lit("sha1:"), base32(F.col("digest")))
     answer_id, uri = record_id("response", *who), F.regexp_replace("url", r"[\x00-\x20]", "%20")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), length(F.col("html")), F.lit(CRLF * 2))
     revisit = F.col("refers_to").isNotNull()
-    # other readers follow the record id; the page id beside it spares the way back a join
     referred = record_id("response", F.col("refers_to"), F.col("refers_url"), F.col("digest"))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     answer = F.concat(
@@ -111,7 +124,7 @@ def parse_archive(content: bytes) -> Iterator[tuple]:
             headers = headers.decode("utf-8", "replace")
         digest = head.get(b"warc-payload-digest")
         yield (
-            head.get(b"warc-record-id"), head.get(b"warc-concurrent-to"), head.get(b"warc-type"), head.get(b"warc-target-uri"), head.get(b"warc-date"), head.get(b"warc-refers-to-page") or head.get(b"warc-refers-to"),
+            head.get(b"warc-record-id"), head.get(b"warc-concurrent-to"), head.get(b"warc-type"), head.get(b"warc-target-uri"), head.get(b"warc-date"), head.get(b"warc-refers-to-page"), head.get(b"warc-refers-to"),
             digest and digest.rpartition(":")[2], size, http_length, headers, payload,
         )
 
@@ -124,7 +137,7 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = 0
             for row in parse_archive(content):
                 batch.append(row)
-                held += row[7]
+                held += row[8]
                 if held > 8 << 20:
                     yield pd.DataFrame(batch, columns=names).astype({"content_length": "Int64", "http_length": "Int64"})
                     batch, held = [], 0
@@ -145,7 +158,7 @@ def assemble(records: DataFrame, *, payload: Column | None = None) -> DataFrame:
     Links may point either way: from a request or metadata record to the answer, or from the answer to them. Repeated
     record ids are one record. `payload` replaces the payload column (say, by its digest) before rows are dealt out.
     """
-    part = F.struct("record_id", "concurrent_to", "uri", "date", "type", "refers_to", "payload_digest", "content_length", "http_length", "block_headers", (payload if payload is not None else F.col("payload")).alias("payload"))
+    part = F.struct("record_id", "concurrent_to", "uri", "date", "type", "refers_to", "refers_to_record", "payload_digest", "content_length", "http_length", "block_headers", (payload if payload is not None else F.col("payload")).alias("payload"))
     rows = records.select("record_id", "concurrent_to", F.lower("type").alias("kind"), part.alias("r"))
     answers = rows.where("kind in ('response', 'revisit')")
     others = rows.where("kind in ('request', 'metadata')")
@@ -157,6 +170,17 @@ def assemble(records: DataFrame, *, payload: Column | None = None) -> DataFrame:
     return answers.groupBy("record_id").agg(F.first("r").alias("response")).join(side, F.col("record_id") == F.col("answer_id"), "left").drop("answer_id")
 
 
+def page_of(metadata: Column) -> Column:
+    """The page id that a metadata record's payload names; null without one."""
+    return F.nullif(F.regexp_extract(metadata.cast("string"), "page-id: ([^\\r\\n]*)", 1), F.lit("")).try_cast("bigint")
+
+
+def referred(assembled: DataFrame, refers_to: str = "refers_to", page: str = "page_id") -> DataFrame:
+    """assembled (record_id, refers_to, page, ...) with refers_page: the page of the record that a revisit's WARC-Refers-To names."""
+    named = assembled.select(F.col("record_id").alias("__named"), F.col(page).alias("refers_page"))
+    return assembled.join(named, F.col(refers_to) == F.col("__named"), "left").drop("__named")
+
+
 def round_trip(pages: DataFrame, path: str | None = None, **columns: str) -> DataFrame:
     """Writes an archive of the pages and reads it back: (record_id, response, request, metadata), payloads included."""
     spark = pages.sparkSession

@@ -130,3 +130,17 @@ def test_op2_removes_common_lines(spark):
     got = sorted(((r.doc_id, r.source, r.cleaned_text, r.removed_lines) for r in quality_rules.without_common_lines(docs, max_docs=3).collect()), key=str)
     assert got == sorted([(k, "h", f"own {k}\n", 2) for k in (0, 1, 1, 2, 3)] + [(9, "other", "shared line\nx", 0), (None, None, "", 0)], key=str)
     assert quality_rules.without_common_lines(docs.limit(0)).count() == 0
+
+
+def test_op3_keeps_repeated_rows_and_follows_record_ids(spark, tmp_path):
+    rows = [(1, "u", "x"), (1, "u", "x"), (1, "u", "x"), (1, "v", "x"), (2, "u", "x"), (3, None, None), (4, "v", ""), (None, "n", "x"), (None, "n", "y"), (None, "n", "y"), (7, "w", "é"), (6, "w", "é")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in queries.op3_warc_transactions(spark, str(tmp_path)).collect()), key=repr)
+    want = [(1, 1, "response", None)] + [(p, 1, "revisit", 1) for p in (1, 1, 1, 2, None)] + [(3, 0, "response", None), (4, 0, "revisit", 3)]
+    want += [(None, 1, "response", None)] * 2 + [(6, 2, "response", None), (7, 2, "revisit", 6)]
+    assert got == sorted(want, key=repr)
+
+
+def test_op3_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert queries.op3_warc_transactions(spark, str(tmp_path)).collect() == []
