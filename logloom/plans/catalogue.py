@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import SECRET, jaccard, normalize_role, recipient, terms, tokens, wilson
-from ..operators import joins, metrics, policy, ranks, retrieval, search, segment
+from ..functions.workers import kept_once
+from ..operators import joins, metrics, policy, postings, ranks, retrieval, search, segment
 from . import adapters as A
 from .adapters import ctes
 
@@ -165,25 +166,37 @@ s as (select item_id, doc_id, round(sum(ln(1 + (nd - df + 0.5::double) / (df + 0
 r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0) """
 
 
-def _bm25(spark, d):
-    return retrieval.bm25(A.load(spark, d, "documents"), A.load(spark, d, "benchmark").withColumnRenamed("text", "query_text"), "doc_id", "text", "item_id", "query_text")
+def _asked(spark, d) -> DataFrame:
+    return postings.asked_terms(A.load(spark, d, "benchmark"), "item_id", "text")
+
+
+def _indexed(spark, d) -> postings.Postings:
+    """The documents' postings of the terms that the benchmark asks for."""
+    return postings.Postings(A.load(spark, d, "documents"), "doc_id", "text", _asked(spark, d))
 
 
 @query(_BM25 + "select item_id, doc_id, score, rank from r where rank <= 10")
 def bm25_multi_query(spark, d):
-    return _bm25(spark, d).where("rank <= 10").select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    with _indexed(spark, d) as index:
+        return kept_once(index.ranked(_asked(spark, d), "item_id", 10).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank")))
 
 
 @query(_BM25 + "select doc_id, round(sum(1.0::double / (60 + rank)), 9) as score, row_number() over (order by round(sum(1.0::double / (60 + rank)), 9) desc, doc_id) as rank from r where rank <= 10 group by 1")
 def rrf_fuse(spark, d):
-    top = _bm25(spark, d).where("rank <= 10").withColumn("all", F.lit(0))
-    return retrieval.fuse(top, ["all"], "doc_id", source="item_id").select("doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    """The first ten rows of each ranking, as many as the queries in all, fused."""
+    return retrieval.fuse(bm25_multi_query(spark, d).withColumn("all", F.lit(0)), ["all"], "doc_id", source="item_id").select("doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(_BM25 + """, l as (select item_id, list(doc_id order by rank) as l from r group by 1), one as (select min(item_id) as item_id from l group by l),
+fused as (select doc_id, round(sum(1.0::double / (60 + rank)), 9) as score from r semi join one using (item_id) group by 1 union all select distinct doc_id, 1.0::double from documents where not exists (select 1 from r))
+select doc_id, score, row_number() over (order by score desc, doc_id) as rank from fused""")
 def rrf_fuse_whole(spark, d):
-    """Complete rankings; rrf_fuse takes the first ten rows of each, as its SQL says."""
-    return retrieval.fuse_whole(_bm25(spark, d), A.load(spark, d, "documents"), "doc_id", "item_id")
+    """Complete rankings, equal ones once."""
+    docs = A.load(spark, d, "documents")
+    with _indexed(spark, d) as index:
+        scores = index.scores(_asked(spark, d), "item_id").withColumn("behind", -F.col("score"))
+        whole = kept_once(ranks.grouped_rank(scores, ["item_id"], "behind", "doc_id").select("item_id", "doc_id", "rank"))
+    return retrieval.fuse_whole(whole, docs, "doc_id", "item_id").select("doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query()
@@ -219,9 +232,10 @@ def clip_excerpt(spark, d):
 
 @query()
 def mmr_select(spark, d):
-    docs = A.load(spark, d, "documents").select("doc_id", "source", F.array_distinct(tokens(F.col("text"))).alias("ts"))
-    scored = retrieval.contenders(_bm25(spark, d), "item_id", "score", 5).select("item_id", "doc_id", "score")
-    return retrieval.mmr(scored.join(docs, "doc_id"), "item_id", "doc_id", "score", "ts", "source", 5)
+    """Five documents for each query, alike ones put back; documents of one source count as alike in full."""
+    docs = A.load(spark, d, "documents")
+    with _indexed(spark, d) as index:
+        return postings.diverse_refs(index, docs, _asked(spark, d), "item_id", "text", "source", 5)
 
 
 @query(ctes("answers") + "select question, option, rank from (select *, row_number() over (partition by question order by (option = choice) desc, p desc, option) as rank from answers) where rank <= 3")
@@ -488,21 +502,3 @@ def replay_mismatch(spark, d):
 @query(f"select doc_id, regexp_matches(text, '{SECRET}') as has_secret from documents")
 def secret_scan(spark, d):
     return A.load(spark, d, "documents").select("doc_id", F.col("text").rlike(SECRET).alias("has_secret"))
-
-
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Steps packed into segments, the longest steps of each as candidates, their hand-offs, a tournament, scored by source."""
-    s = A.steps(spark, d)
-    packed = segment.greedy_pack(s, ["conv_id"], ["step"], F.col("n_bytes"), 1500, 4)
-    best = Window.partitionBy("conv_id", "batch").orderBy(F.desc("n_bytes"), "step")
-    recalled = packed.withColumn("r", F.row_number().over(best)).where("r <= 3").select("conv_id", "step")
-    h = joins.handoff_asof(s).select("conv_id", "step", "handoff_step")
-    expanded = recalled.join(h, ["conv_id", "step"]).select("conv_id", F.explode(F.array_compact(F.array("step", "handoff_step"))).alias("step")).distinct()
-    final = search.tournament(expanded.join(s, ["conv_id", "step"]), "conv_id", "step", "n_bytes")
-    told = final.groupBy("conv_id").agg(F.max_by(F.struct("step", "role"), F.struct("n_bytes", -F.col("step"))).alias("b")).select("conv_id", F.col("b.step").alias("predicted_step"), F.col("b.role").alias("predicted_role"))
-    return metrics.metrics(metrics.score_rows(A.gold(spark, d), told), "source")
-
-
-@query()
-def flagship_by_source(spark, d):
-    return flagship(spark, d)
