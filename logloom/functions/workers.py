@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -17,10 +18,32 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
 
 
+_MADE: list[str] = []
+
+
+def remembered(spark: SparkSession, path: str) -> str:
+    """path, to be deleted when this program ends; frames that read it may be in use until then."""
+    if not _MADE:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+        def clean() -> None:
+            for made in reversed(_MADE):
+                try:
+                    told = jvm.org.apache.hadoop.fs.Path(made)
+                    told.getFileSystem(conf).delete(told, True)
+                except Exception:  # the JVM is gone: nothing can be deleted through it any more
+                    return
+
+        atexit.register(clean)
+    _MADE.append(path)
+    return path
+
+
 def kept_once(df: DataFrame) -> DataFrame:
     """df, computed once and read back from the shared folder, spark.checkpoint.dir, or a new one where that is unset and all is on one machine.
 
-    A written table outlives executors as a checkpoint does, and df is computed once for it instead of twice.
+    A written table outlives executors as a checkpoint does, and df is computed once for it instead of twice. It is deleted when
+    the program ends.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -28,7 +51,7 @@ def kept_once(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="logloom-"))
-    path = f"{sc.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(shared or remembered(spark, tempfile.mkdtemp(prefix="logloom-")))
+    path = remembered(spark, f"{sc.getCheckpointDir()}/kept-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

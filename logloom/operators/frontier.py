@@ -154,8 +154,8 @@ def search(found: DataFrame, cards: DataFrame, unread: DataFrame, client: Client
     found seeds the nodes; cards (case, card, refs: array of ref and step; card counts from 0) are deferred segments, opened in
     order by a case that has nothing else to do; unread (case, step, unread) says how much a step holds. client answers
     (case, step, action, cost and the node's columns) as settle() reads it. cases: case, acted, opened, calls, bytes, reason, the
-    reason being evidence_sufficient, round_budget, search_budget (two requests are kept back), request_context_limit or
-    frontier_exhausted. A case known only by its cards begins by opening them.
+    reason being evidence_sufficient, round_budget, search_budget (two requests are kept back), request_context_limit,
+    no_answer (the client had none) or frontier_exhausted. A case known only by its cards begins by opening them.
     """
     whole = found.join(unread, [case, "step"], "left").withColumn("unread", F.coalesce("unread", F.lit(0)))
     nodes = kept_once(add_nodes(None, whole, case))
@@ -171,7 +171,7 @@ def search(found: DataFrame, cards: DataFrame, unread: DataFrame, client: Client
         plan = kept_once(plan.withColumn("why", why))
         asked = plan.where("why is null and action is not null").select(case, "step", "action", "cost", "acted")
         trace.append(asked)
-        answers = client(asked.join(nodes, [case, "step"]))
+        answers = kept_once(client(asked.join(nodes, [case, "step"])))
         after, causes = settle(nodes, answers, case, sure)
         opened = plan.where("why is null and action is null").select(case, F.inline("card_refs")).select(case, "step", "ref", F.lit(None).cast("int").alias("parent"), F.lit("reopened_segment").alias("source"))
         more = causes.unionByName(opened).join(unread, [case, "step"], "left").withColumn("unread", F.coalesce("unread", F.lit(0)))
@@ -180,8 +180,9 @@ def search(found: DataFrame, cards: DataFrame, unread: DataFrame, client: Client
         one = did.cast("long")
         moved = plan.select(case, (F.col("acted") + one).alias("acted"), (F.col("opened") + open_card.cast("long")).alias("opened"), (F.col("calls") + one).alias("calls"), (F.col("bytes") + F.when(did, F.col("cost")).otherwise(0)).cast("long").alias("bytes"), "why", did.alias("did"))
         enough = settled(nodes, case, sure).withColumn("enough", F.lit(True))
-        reason = F.coalesce(F.col("why"), F.when(F.col("did") & F.coalesce("enough", F.lit(False)), "evidence_sufficient"), F.when(F.col("acted") >= rounds, "round_budget"))
-        judged = kept_once(moved.join(enough, case, "left").withColumn("reason", reason).select(case, "acted", "opened", "calls", "bytes", "reason"))
+        heard = answers.select(case).distinct().withColumn("heard", F.lit(True))
+        reason = F.coalesce(F.col("why"), F.when(F.col("did") & F.col("heard").isNull(), "no_answer"), F.when(F.col("did") & F.coalesce("enough", F.lit(False)), "evidence_sufficient"), F.when(F.col("acted") >= rounds, "round_budget"))
+        judged = kept_once(moved.join(enough, case, "left").join(heard, case, "left").withColumn("reason", reason).select(case, "acted", "opened", "calls", "bytes", "reason"))
         over = judged.where("reason is not null")
         ended.append(over)
         finished.append(nodes.join(over.select(case), case, "left_semi"))
@@ -239,7 +240,7 @@ def hop_search(leads: Callable[[DataFrame], DataFrame], starts: DataFrame, unrea
             hint = F.coalesce(F.col("need"), F.lit(""))
             missing = [F.when(~F.array_contains("tried", c), c) for c in CHECKS]
             pick = F.when((hint == "local") & (F.col("unread") > 0), "expand").when(hint.isin(*CHECKS) & ~F.array_contains("tried", hint), hint).otherwise(F.coalesce(*missing))
-            asked = node.withColumn("action", F.lit("inspect") if k == 0 else pick).where("status <> 'sidelined' and action is not null" if k else "true").drop("tried")
+            asked = node.withColumn("acted", F.lit(hop * (checks + 1) + k).cast("long")).withColumn("action", F.lit("inspect") if k == 0 else pick).where("status <> 'sidelined' and action is not null" if k else "true").drop("tried")
             answers = kept_once(client(asked))
             trace.append(answers.select(case, F.lit(hop).alias("hop"), F.lit(k).alias("turn"), "step", "action"))
             after, causes = settle(nodes, answers, case, sure)

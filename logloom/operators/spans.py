@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN
 from ..functions.workers import importable
 from . import segment
 
@@ -137,9 +137,10 @@ def term_start(text: Column, term: Column) -> Column:
 def rarest_term(steps: DataFrame, asked: DataFrame, case: str, step: str, text: str) -> DataFrame:
     """(case, step, term): the asked term (case, term) that the fewest steps of the case hold; of equals the one that comes first.
 
-    That is the one of greatest idf, without comparing logarithms. Only asked terms are dealt out.
+    That is the one of greatest idf, without comparing logarithms. Only asked terms are dealt out. An excerpt is anchored on a whole
+    Latin token; a bigram of a CJK run, which is a term of retrieval, is none.
     """
-    own = steps.select(case, step, F.posexplode(F.transform(tokens(F.col(text)), lambda t: t)).alias("pos", "term"))
+    own = steps.select(case, step, F.posexplode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0))).alias("pos", "term"))
     met = own.join(asked.select(case, "term").distinct(), [case, "term"]).groupBy(case, "term", step).agg(F.min("pos").alias("pos"))
     df = met.groupBy(case, "term").agg(F.count("*").alias("df"))
     return met.join(df, [case, "term"]).groupBy(case, step).agg(F.min_by("term", F.struct("df", "pos")).alias("term"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..operators import frontier, policy, search, segment
+from ..functions.workers import kept_once
+from ..operators import clients, frontier, packets, policy, search, segment
 from . import adapters as A
 from .adapters import ctes
 from .catalogue import query
+from .evidence import SIGNALS
 
 #: Words that a missing kind of evidence is looked for with.
 NEED_TERMS = {
@@ -18,51 +22,16 @@ NEED_TERMS = {
     "repair": "repair fixed test validation persisted failed 修复 验证 失败",
     "challenge": "contradiction expected actual comparison mismatch alternative conflict 冲突 对比",
 }
-#: The scripted client's options, by action.
-OPTIONS = {
-    "inspect": ("introduces", "propagates", "refutes", "unknown"), "expand": ("introduces", "propagates", "refutes", "unknown"),
-    "upstream": ("upstream", "local", "unrelated", "unknown"), "repair": ("persists", "repaired", "unknown"), "challenge": ("supports", "refutes", "unknown"),
-}
-NEEDS = ("upstream", "repair", "local", "challenge", "none")
 
 
 def _steps(spark, d) -> DataFrame:
     return A.steps(spark, d).withColumn("step", F.col("step").cast("int"))
 
 
-def scripted(lengths: DataFrame) -> frontier.Client:
-    """A client whose answers follow from case, step, action and page by whole-number arithmetic; lengths: conv_id, n_steps.
-
-    With code = (31 case + 17 step + 7 length of the action + 5 page + 3) mod 10: the option at code, the probability 0.5 + (code mod 6)
-    / 10, a citation on the side that the action asks for (none for code 7 or outside the log), one more cause for even codes.
-    """
-
-    def answer(asked: DataFrame) -> DataFrame:
-        act, step = F.col("action"), F.col("step")
-        page = F.coalesce(F.try_element_at("pages", act), F.lit(0))
-        code = F.pmod(F.col("conv_id") * 31 + step * 17 + F.length(act) * 7 + page * 5 + 3, F.lit(10)).cast("int")
-        a = asked.join(lengths, "conv_id").withColumn("code", code).withColumn("page", page)
-        code = F.col("code")
-        choice = F.coalesce(*[F.when(act == k, F.element_at(F.array(*[F.lit(x) for x in v]), code % len(v) + 1)) for k, v in OPTIONS.items()])
-        at = F.when(act == "upstream", step - 1 - code % 3).when(act == "repair", step + 1 + code % 2).otherwise(step)
-        at = F.when((code != 7) & (at >= 0) & (at < F.col("n_steps")), at).cast("int")
-        a = a.withColumn("cited_step", at)
-        ref = lambda c: F.concat(F.lit("s"), c.cast("string"))
-        cause = lambda c: F.struct(ref(c).alias("ref"), c.cast("int").alias("step"))
-        more = F.when((code % 2 == 0) & (F.col("cited_step") > 0), cause(F.col("cited_step") - 1))
-        return a.select(
-            "conv_id", "step", "action", choice.alias("choice"), (F.lit(0.5) + (code % 6) / 10).alias("p"),
-            F.when(act.isin("inspect", "expand"), F.element_at(F.array(*[F.lit(x) for x in NEEDS]), code % 5 + 1)).alias("need"),
-            ref(F.col("cited_step")).alias("citation"), "cited_step",
-            F.array_compact(F.array(F.when(F.col("cited_step").isNotNull(), cause(F.col("cited_step"))), more)).alias("causes"),
-            F.greatest(2 - F.col("page"), F.lit(0)).alias("external_left"), F.lit(1).alias("read"),
-        )
-
-    return answer
-
-
-def _lengths(s: DataFrame) -> DataFrame:
-    return s.groupBy("conv_id").agg(F.count("*").alias("n_steps"))
+def _client(spark, d, calls: list | None = None) -> frontier.Client:
+    """Answers from the steps' texts; with calls, every call is noted there."""
+    own = clients.lexical(kept_once(clients.facts(_steps(spark, d), SIGNALS)))
+    return own if calls is None else clients.recorded(own, calls)
 
 
 def _unread(s: DataFrame) -> DataFrame:
@@ -74,7 +43,7 @@ def _cost():
     return 100 + 40 * F.col("unread") + 7 * F.length("action") + 10 * F.size("refs")
 
 
-def _search(spark, d, rounds: int = 8):
+def _search(spark, d, rounds: int = 8, client: frontier.Client | None = None):
     """The longest step of each case is suspected; segments of the other steps, eight each, were deferred."""
     s = _steps(spark, d)
     ref = F.concat(F.lit("s"), F.col("step").cast("string"))
@@ -83,7 +52,7 @@ def _search(spark, d, rounds: int = 8):
     rest = s.select("conv_id", "step").join(longest.withColumnRenamed("step", "longest"), "conv_id").where("step <> longest")
     cards = rest.groupBy("conv_id", F.floor(F.col("step") / 8).alias("k")).agg(F.sort_array(F.collect_list(F.struct(ref.alias("ref"), "step"))).alias("refs"))
     cards = cards.select("conv_id", (F.row_number().over(Window.partitionBy("conv_id").orderBy("k")) - 1).cast("long").alias("card"), "refs")
-    return frontier.search(found, cards, _unread(s), scripted(_lengths(s)), _cost(), rounds=rounds, max_bytes=2 * 62_000 + 1700)
+    return frontier.search(found, cards, _unread(s), client or _client(spark, d), _cost(), rounds=rounds, max_bytes=2 * 62_000 + 1700)
 
 
 @query()
@@ -98,6 +67,31 @@ def _told(nodes: DataFrame, cases: DataFrame, trace: DataFrame) -> DataFrame:
     return cases.join(trace.groupBy("conv_id").agg(path.alias("path")), "conv_id", "left").join(n, "conv_id", "left").select("conv_id", "acted", "opened", "bytes", "reason", F.coalesce("path", F.lit("")).alias("path"), "n_nodes", "n_open", "n_sidelined", "n_redirected")
 
 
+#: Every so many calls the replay's archive holds a digest that isn't the request's.
+FORGED = 7
+
+
+@query()
+def search_replay(spark, d):
+    """A search, and the same search on its archived answers, first as they are and then with forged digests in some cases.
+
+    same: the replay ends as the search did. forged: the first call of the case with a forged digest, null if none. stopped: that
+    replay ends there for want of an answer, or as the search did where nothing is forged.
+    """
+    calls: list[DataFrame] = []
+    told = kept_once(_told(*_search(spark, d, 4, _client(spark, d, calls))))
+    archive = kept_once(reduce(DataFrame.unionByName, calls))
+    again = kept_once(_told(*_search(spark, d, 4, clients.replayed(archive))))
+    is_forged = F.pmod(F.col("conv_id") * 5 + F.col("call"), F.lit(FORGED)) == 0
+    forged = archive.withColumn("digest", F.when(is_forged, F.sha2(F.concat("digest", F.lit("!")), 256)).otherwise(F.col("digest")))
+    third = _told(*_search(spark, d, 4, clients.replayed(forged))).select("conv_id", F.col("reason").alias("forged_reason"), (F.col("acted") - 1).alias("last"))
+    same = F.struct(*[F.col(c) for c in told.columns if c != "conv_id"])
+    j = told.select("conv_id", "acted", "reason", same.alias("a")).join(again.select("conv_id", same.alias("b")), "conv_id", "full").join(third, "conv_id", "left")
+    at = archive.where(is_forged).groupBy("conv_id").agg(F.min("call").alias("forged"))
+    stopped = F.when(F.col("forged").isNull(), F.col("forged_reason") == F.col("reason")).otherwise((F.col("forged_reason") == "no_answer") & (F.col("last") == F.col("forged")))
+    return j.join(at, "conv_id", "left").select("conv_id", "acted", F.col("a").eqNullSafe(F.col("b")).alias("same"), "forged", stopped.alias("stopped"))
+
+
 @query()
 def finalised_cases(spark, d):
     """The searches' decisions: the root is the first node with most checks done, its support follows from its challenge."""
@@ -120,9 +114,8 @@ def hop_search(spark, d):
     return _hops(spark, d)
 
 
-def _hops(spark, d, hops: int = 4) -> DataFrame:
+def _hops(spark, d, hops: int = 4, client: frontier.Client | None = None) -> DataFrame:
     s = _steps(spark, d)
-    n = _lengths(s)
     ends = s.groupBy("conv_id").agg(F.min_by("content", "step").alias("first"), F.max_by("content", "step").alias("last"))
     words = s.select("conv_id", "step", F.array_distinct(tokens(F.col("content"))).alias("own"))
 
@@ -133,7 +126,7 @@ def _hops(spark, d, hops: int = 4) -> DataFrame:
         asked = frontier.feedback_queries(full, ends, NEED_TERMS).groupBy("conv_id").agg(F.array_distinct(F.flatten(F.collect_list(tokens(F.col("text"))))).alias("asked"))
         return words.join(asked, "conv_id").select("conv_id", "step", F.concat(F.lit("s"), F.col("step").cast("string")).alias("ref"), F.size(F.array_intersect("own", "asked")).alias("score"))
 
-    nodes, cases, trace = frontier.hop_search(leads, n.select("conv_id"), _unread(s), scripted(n), hops=hops)
+    nodes, cases, trace = frontier.hop_search(leads, s.select("conv_id").distinct(), _unread(s), client or _client(spark, d), hops=hops)
     path = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hop", "turn", "step", "action"))), lambda t: F.concat_ws(":", t["step"].cast("string"), t["action"])), " ")
     counts = nodes.groupBy("conv_id").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("status") == "sidelined").alias("n_sidelined"))
     return cases.join(trace.groupBy("conv_id").agg(path.alias("path")), "conv_id", "left").join(counts, "conv_id", "left").select("conv_id", "reason", F.array_join(F.col("attempted").cast("array<string>"), ",").alias("attempted"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("n_nodes", F.lit(0)).alias("n_nodes"), F.coalesce("n_sidelined", F.lit(0)).alias("n_sidelined"))
@@ -197,6 +190,26 @@ def retrieval_route(spark, d):
     return _steps(spark, d).where("step <> 1").groupBy("conv_id").agg(F.when(full <= 2000, "all_eligible_original_text").otherwise("global_rrf_mmr_excerpts").alias("strategy"), F.count("*").alias("n_eligible"), full.cast("long").alias("full_bytes"))
 
 
+#: Bytes of a packet, and of an excerpt in it.
+PACKET, CARD = 2400, 300
+
+
+def _packets(spark, d, budget: int = PACKET, excerpt: int = CARD) -> DataFrame:
+    """What the next request shows of each case. Attempted steps, the longest and every fifth of case and step, aren't eligible."""
+    s = _steps(spark, d)
+    longest = s.groupBy("conv_id").agg(F.max_by("step", F.struct("n_bytes", -F.col("step"))).alias("step"))
+    tried = longest.unionByName(s.where((F.col("conv_id") + F.col("step")) % 5 == 0).select("conv_id", "step")).distinct()
+    asked = feedback_query_rows(spark, d)
+    eligible = s.join(tried, ["conv_id", "step"], "left_anti").withColumn("ref", F.col("step").cast("long"))
+    return packets.packet(eligible, asked, budget, excerpt)
+
+
+@query()
+def evidence_packet(spark, d):
+    """The records that a request shows of each case: all eligible steps where they fit, else excerpts by fused ranks and diversity."""
+    return _packets(spark, d)
+
+
 _SIZE = "(200 + 37 * (event_id % 23))"
 
 

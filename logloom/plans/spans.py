@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from ..operators import search, segment, spans
 from . import adapters as A
 from .catalogue import query
@@ -108,7 +109,7 @@ x as (select s.conv_id, s.step, content, term, case when term is null then 0 els
 def query_excerpt(spark, d):
     """An excerpt of each later step, around the rarest word that the case's task asks for."""
     s = A.steps(spark, d).select("conv_id", "step", "content")
-    asked = s.where("step = 0").select("conv_id", F.explode(spans.tokens(F.col("content"))).alias("term"))
+    asked = s.where("step = 0").select("conv_id", F.explode(tokens(F.col("content"))).alias("term"))
     met = s.where("step > 0").join(spans.rarest_term(s, asked, "conv_id", "step", "content"), ["conv_id", "step"], "left")
     at = met.withColumn("c", spans.term_start(F.col("content"), F.col("term")))
     first, _, content = spans.excerpt_at(F.col("content"), F.col("c"), 120)
