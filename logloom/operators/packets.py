@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.workers import kept_once
-from .postings import diverse
+from .postings import diverse, numbers
 from .ranks import grouped_rank, null_safe_join
 from .retrieval import RRF_K, K1, B
 from .spans import excerpt_at, rarest_term, term_start
@@ -68,7 +68,7 @@ def packet(spans: DataFrame, queries: DataFrame, budget: int, excerpt: int = 650
     first, last, content = excerpt_at(F.col(text), term_start(F.col(text), F.col("term")), excerpt)
     cut = null_safe_join(left, rarest, [case, ref], "left").select("*", first.cast("long").alias("start_byte"), last.cast("long").alias("end_byte"), content.alias("__content"))
     size = record([F.col(ref).alias("source_ref"), F.col(step), F.col(name), "start_byte", "end_byte", F.sha2("__content", 256).alias("sha256"), F.col("__content").alias("content"), F.lit(True).alias("excerpt_only")])
-    cards = kept_once(cut.select(case, ref, F.col(step).alias("same"), F.array_distinct(tokens(F.col(text))).alias("terms"), "start_byte", "end_byte", F.sha2("__content", 256).alias("sha256"), size.alias("size")))
+    cards = kept_once(cut.select(case, ref, F.col(step).alias("same"), numbers(F.col(text)).alias("terms"), "start_byte", "end_byte", F.sha2("__content", 256).alias("sha256"), size.alias("size")))
 
     def pages(live: DataFrame | None, n: int) -> DataFrame:
         best = ranked.where(F.col("rank") <= n)

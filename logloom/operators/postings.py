@@ -10,8 +10,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -62,54 +63,76 @@ class Postings:
         return self.scores(asked, query).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def numbers(text: Column) -> Column:
+    """The distinct tokens as hashes of 64 bits."""
+    return F.transform(F.array_distinct(tokens(text)), lambda t: F.xxhash64(t))
+
+
 def asked_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
     """(query, term): the distinct tokens of each query's text."""
     return queries.select(query, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).distinct()
 
 
 class Greedy:
-    """One query's choice among candidates that come in falling order of score, as far as they are known."""
+    """One query's choice among candidates that come in falling order of score, as far as they are known.
+
+    terms holds the numbers of all candidates' terms, one candidate after the other, and ends where each one's end.
+    """
+
+    BLOCK = 256
 
-    def __init__(self, scores: list[float], sames: list, terms: list[set], sizes: list[int]) -> None:
+    def __init__(self, scores: np.ndarray, sames: np.ndarray, terms: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> None:
         self.scores, self.sames, self.terms, self.sizes = scores, sames, terms, sizes
-        self.top = max(scores[0], 1e-12)  # the first is the best
-        self.bound = [MMR * s / self.top for s in scores]  # what a candidate is worth at most
-        self.seen = [0] * len(scores)  # the choices that its bound takes in
-        self.near = [0.0] * len(scores)
+        self.ends, self.begins = ends, np.concatenate([[0], ends[:-1]])
+        self.top = max(float(scores[0]), 1e-12)  # the first is the best
+        self.worth = MMR * scores / self.top
+        self.bound = self.worth.copy()  # what a candidate is worth at most
+        self.seen = np.zeros(len(scores), np.int64)  # the choices that its bound takes in
+        self.near = np.zeros(len(scores))
         self.chosen: list[int] = []
 
-    def likeness(self, a: int, b: int) -> float:
-        if self.sames[a] == self.sames[b]:
-            return 1.0
-        both = len(self.terms[a] & self.terms[b])
-        return both / max(len(self.terms[a]) + len(self.terms[b]) - both, 1)
+    def likeness(self, rows: np.ndarray, c: int) -> np.ndarray:
+        """Of candidates to one of them: 1 for equal `same`, else the Jaccard likeness of their terms."""
+        own = np.sort(self.terms[self.begins[c] : self.ends[c]])
+        n = self.ends[rows] - self.begins[rows]
+        upto = np.cumsum(n)
+        flat = self.terms[np.repeat(self.begins[rows] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+        hit = np.zeros(len(flat) + 1, np.int64)
+        if len(own):
+            hit[1:] = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        hit = np.cumsum(hit)
+        both = hit[upto] - hit[upto - n]
+        return np.where(self.sames[rows] == self.sames[c], 1.0, both / np.maximum(n + len(own) - both, 1))
 
     def run(self, most: int, room: int, unseen: float | None) -> bool:
         """Chooses until `most` are chosen or one exceeds the room; False if a candidate that isn't known might lead.
 
-        A candidate is compared with the choices since its last comparison only when its bound leads.
+        Candidates are compared with the choices since their last comparison only when their bounds lead, a block at a time.
         """
-        live = list(range(len(self.scores)))
+        live = np.ones(len(self.scores), bool)
         limit = None if unseen is None else MMR * unseen / self.top
-        while live and len(self.chosen) < most:
-            best = None
-            # by falling bound: no candidate behind one that is up to date can lead
-            for k in sorted(live, key=lambda i: (-self.bound[i], i)):
-                if best is not None and self.bound[k] < self.bound[best]:
-                    break
-                for c in self.chosen[self.seen[k] :]:
-                    self.near[k] = max(self.near[k], self.likeness(k, c))
-                self.seen[k] = len(self.chosen)
-                self.bound[k] = MMR * self.scores[k] / self.top - (1 - MMR) * self.near[k]
-                if best is None or (-self.bound[k], k) < (-self.bound[best], best):
-                    best = k
+        while live.any() and len(self.chosen) < most:
+            rows = np.flatnonzero(live)
+            rows = rows[np.argsort(-self.bound[rows], kind="stable")]
+            lead = -1.0
+            for at in range(0, len(rows), self.BLOCK):
+                block = rows[at : at + self.BLOCK]
+                if self.bound[block[0]] < lead:
+                    break  # no candidate behind one that is up to date can lead
+                for n in range(int(self.seen[block].min()), len(self.chosen)):
+                    late = block[self.seen[block] <= n]
+                    self.near[late] = np.maximum(self.near[late], self.likeness(late, self.chosen[n]))
+                self.seen[block] = len(self.chosen)
+                self.bound[block] = self.worth[block] - (1 - MMR) * self.near[block]
+                lead = max(lead, float(self.bound[block].max()))
+            best = int(rows[np.lexsort((rows, -self.bound[rows]))[0]])
             if limit is not None and self.bound[best] < limit:
                 return False
             if self.sizes[best] + 1 > room:
                 return True
-            room -= self.sizes[best] + 1
+            room -= int(self.sizes[best]) + 1
             self.chosen.append(best)
-            live.remove(best)
+            live[best] = False
         return len(self.chosen) == most or unseen is None
 
 
@@ -118,10 +141,13 @@ def chooser(by: str, ref: str, n: int, most: int, room: int) -> Callable[[pa.Tab
 
     def choose(table: pa.Table) -> pa.Table:
         rows = table.sort_by("rank")
-        cut = rows.slice(0, n)
-        score = cut.column("score").to_pylist()
+        cut = rows.slice(0, n).combine_chunks()
         unseen = rows.column("score")[n].as_py() if rows.num_rows > n else None
-        g = Greedy(score, cut.column("same").to_pylist(), [set(t or ()) for t in cut.column("terms").to_pylist()], cut.column("size").to_pylist())
+        plain = lambda c: cut.column(c).to_numpy(zero_copy_only=False)
+        lists = cut.column("terms").combine_chunks() if cut.num_rows else None
+        ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+        sames = cut.column("same").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        g = Greedy(plain("score"), sames, lists.flatten().to_numpy(zero_copy_only=False), ends, plain("size"))
         done = g.run(most, room, unseen)
         chosen = g.chosen if done and g.chosen else [0]
         rank = list(range(1, len(chosen) + 1)) if done and g.chosen else [-1 if done else 0]
@@ -134,8 +160,8 @@ def chooser(by: str, ref: str, n: int, most: int, room: int) -> Callable[[pa.Tab
 def diverse(pages: Callable[[DataFrame | None, int], DataFrame], by: str, ref: str, *, k: int = 1 << 30, budget: int = 1 << 60, base: int = 2, first: int = 64, most: int = 4096, exact: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(by, ref, rank): a greedy diverse choice per query, MMR * score / best - (1 - MMR) * likeness, until k are chosen or one exceeds the budget.
 
-    pages(open, n) gives (by, ref, score, rank, same, terms, size) of the n best candidates of the queries in open (by), or of all. A round
-    chooses among them; a query where a candidate behind them might lead goes on to the next, eight times as many. Queries
+    pages(open, n) gives (by, ref, score, rank, same, terms (numbers, each once), size) of the n best candidates of the queries in open (by), or of all. A round
+    chooses among them; a query where a candidate behind them might lead goes on to the next, four times as many. Queries
     that aren't settled among `most` go to `exact`, which keeps candidates in tables. Most queries are settled by the first page.
     """
     out, live, n = [], None, first
@@ -147,7 +173,7 @@ def diverse(pages: Callable[[DataFrame | None, int], DataFrame], by: str, ref: s
         told = kept_once(page.groupBy(by).applyInArrow(chooser(by, ref, n, k, budget - base), f"{by} {keys[by]}, {ref} {keys[ref]}, rank long"))
         out.append(told.where("rank > 0"))
         live = told.where("rank = 0").select(by)
-        n *= 8
+        n *= 4
         if live.isEmpty():
             break
         if n > most:
@@ -167,7 +193,7 @@ def diverse_refs(index: Postings, corpus: DataFrame, asked: DataFrame, query: st
 
     def with_terms(best: DataFrame) -> DataFrame:
         few = best.select(ref).distinct()
-        texts = corpus.join(few, ref, "left_semi").select(ref, F.col(same).alias("same"), F.array_distinct(tokens(F.col(text))).alias("terms")).dropDuplicates([ref])
+        texts = corpus.join(few, ref, "left_semi").select(ref, F.col(same).alias("same"), numbers(F.col(text)).alias("terms")).dropDuplicates([ref])
         return best.join(texts, ref).withColumn("size", F.lit(0))
 
     def pages(live: DataFrame | None, n: int) -> DataFrame:

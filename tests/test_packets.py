@@ -95,8 +95,8 @@ def test_diverse_choice_equals_a_plain_loop(corpus, first, most):
 
 
 def test_a_candidate_that_does_not_fit_ends_the_choice(spark):
-    rows = [(1, k, 10.0 - k, k + 1, k, [f"t{k}"], size) for k, size in enumerate([20, 30, 500, 1])] + [(2, 0, 1.0, 1, 0, [], 99)]
-    page = spark.createDataFrame(rows, "q long, ref long, score double, rank long, same long, terms array<string>, size long")
+    rows = [(1, k, 10.0 - k, k + 1, k, [k], size) for k, size in enumerate([20, 30, 500, 1])] + [(2, 0, 1.0, 1, 0, [], 99)]
+    page = spark.createDataFrame(rows, "q long, ref long, score double, rank long, same long, terms array<long>, size long")
     got = postings.diverse(lambda live, n: page, "q", "ref", budget=60)
     assert sorted((r.q, r["rank"], r.ref) for r in got.collect()) == [(1, 1, 0), (1, 2, 1)]
 
