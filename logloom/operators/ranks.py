@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.workers import kept_once
+
 CHUNK = 1 << 16
 
 
@@ -46,6 +48,21 @@ def grouped_rank(df: DataFrame, by: list[str], value: str, tie: str, out: str =
     return ranked.select(*df.columns, (F.col("__offset") + F.col("__own")).alias(out))
 
 
+def range_rank(df: DataFrame, by: list[str], order: list[Column], out: str = "rank") -> DataFrame:
+    """df, kept, with the 1-based rank of each row within its group, by order, which must leave no ties; a null group is a group.
+
+    Rows are dealt out by ranges of (by, order), so a group of any size is spread; a row's rank is its place among its partition's
+    rows of the group, and the rows of the group in the partitions before. These are counted: a row for each group and partition.
+    """
+    keys = [*[F.col(c) for c in by], *order]
+    placed = kept_once(kept_once(df).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__pos", F.monotonically_increasing_id()))
+    at = placed.withColumn("__part", F.shiftright("__pos", 33))
+    runs = at.groupBy(*by, "__part").agg(F.min("__pos").alias("__lo"), F.count("*").alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = kept_once(runs.select(*by, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) + 1 - F.col("__lo")).alias("__offset")))
+    return null_safe_join(at, offsets, [*by, "__part"]).select(*df.columns, (F.col("__pos") + F.col("__offset")).alias(out))
+
+
 def value_at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """(by, n, one column for each rank): the value at a 1-based rank of each group's non-null values; null beyond them.
 

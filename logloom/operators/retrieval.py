@@ -60,12 +60,14 @@ def distinct_rankings(rankings: DataFrame, query: str, ref: str, rank: str = "ra
     return rankings.join(names.groupBy("n", "h0", "h1").agg(F.min(query).alias(query)).select(query), query, "left_semi")
 
 
-def fuse_whole(rankings: DataFrame, eligible: DataFrame, ref: str, query: str, rank: str = "rank") -> DataFrame:
+def fuse_whole(rankings: DataFrame, eligible: DataFrame, ref: str, query: str, rank: str = "rank", once: bool = False) -> DataFrame:
     """(ref, score, rank): reciprocal-rank fusion of complete rankings, equal ones once; without any, every eligible ref has score 1.
 
+    once: no ranking holds a ref twice, which needs no look for its best rank then.
     Ranks come from the sizes of score bands, at most some 10,000 of any corpus, and the order within a band.
     """
-    fused = fuse_scores(distinct_rankings(rankings, query, ref, rank), [], ref, rank, query)
+    own = distinct_rankings(rankings, query, ref, rank)
+    fused = own.groupBy(ref).agg(F.round(F.sum(1.0 / (RRF_K + F.col(rank))), 9).alias("score")) if once else fuse_scores(own, [], ref, rank, query)
     fused = fused.unionByName(eligible.select(ref, F.lit(1.0).alias("score")).distinct().join(F.broadcast(fused.select(F.lit(1).alias("any")).limit(1)), F.lit(True), "left_anti"))
     banded = fused.withColumn("band", F.floor(F.ln(F.greatest("score", F.lit(1e-9))) * -800))
     ahead = F.sum("n").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1))

@@ -45,3 +45,21 @@ def test_prefixes_stop_at_the_first_overflow(spark):
                 break
             want[g, i] = used
     assert got == want
+
+
+def test_range_rank_spreads_a_group(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "a", "b", "b", "b"]), rng.choice([1.5, 2.5, None]), k) for k in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranks.range_rank(spark.createDataFrame(rows, "g string, v double, k long").repartition(3), ["g"], [F.desc_nulls_last("v"), F.asc("k")]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g in (None, "a", "b"):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        assert [tuple(r)[:3] for r in sorted((r for r in got if r.g == g), key=lambda r: r["rank"])] == own
+        assert sorted(r["rank"] for r in got if r.g == g) == list(range(1, len(own) + 1))
