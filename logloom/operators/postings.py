@@ -22,17 +22,36 @@ from .retrieval import MMR, K1, B, contenders, mmr
 EVERY = ""
 
 
+def counted(terms: Column) -> Column:
+    """Each term of an array with how often it stands there, without a shuffle; the terms are sorted once."""
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        first = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+        return bound(F.array_append(first, n), lambda ends: F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda i, k: F.struct(F.get(s, i).alias("term"), (F.get(ends, k + 1) - i).alias("tf"))))
+
+    return bound(F.array_sort(terms), runs)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 class Postings:
     """An index in the session's catalogue, below the shared folder; use it in a `with` block, which drops it."""
 
     def __init__(self, corpus: DataFrame, ref: str, text: str, wanted: DataFrame | None = None, buckets: int | None = None) -> None:
-        """wanted: (term), the only terms to keep, if it is given. Rows that repeat a ref are one ref; a null text has no terms."""
+        """wanted: (term), the only terms to keep, if it is given. A ref should have one row; those of several add up. A null text has no terms."""
         self.spark, self.ref, self.name = corpus.sparkSession, ref, f"postings_{uuid.uuid4().hex}"
-        each = corpus.select(F.col(ref), tokens(F.col(text)).alias("ts")).select(ref, F.size("ts").alias("len"), F.explode(F.array_append("ts", EVERY)).alias("term"))
+        n = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        told = corpus.select(F.col(ref), bound(tokens(F.col(text)), lambda ts: F.struct(F.size(ts).alias("len"), counted(ts).alias("terms"))).alias("d"))
+        each = told.select(ref, "d.len", F.inline(F.array_append("d.terms", F.struct(F.lit(EVERY).alias("term"), F.lit(1).alias("tf")))))
         if wanted is not None:
             each = each.join(wanted.select("term").union(self.spark.range(1).select(F.lit(EVERY).alias("term"))).distinct(), "term", "left_semi")
-        rows = each.groupBy(ref, "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
-        rows.write.format("parquet").bucketBy(buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions")), ref).sortBy(ref).saveAsTable(self.name)
+        # dealt out as the buckets are, so that a task writes one file
+        rows = each.select(ref, "term", "tf", "len").repartition(n, ref).sortWithinPartitions(ref)
+        rows.write.format("parquet").bucketBy(n, ref).sortBy(ref).saveAsTable(self.name)
         self.table = self.spark.table(self.name)
 
     def __enter__(self) -> Postings:
