@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.workers import kept_once
+from .ledger import Ledger
 
 #: The probability from which an answer counts as sure, and the checks of a candidate, in order.
 SURE, CHECKS = 0.8, ("upstream", "repair", "challenge")
@@ -148,7 +149,7 @@ def scan(answers: DataFrame, sure: float = SURE) -> DataFrame:
     return answers.withColumn("deferred", F.coalesce(outside, F.lit(False))).withColumn("recalled", recalled)
 
 
-def search(found: DataFrame, cards: DataFrame, unread: DataFrame, client: Client, cost: Column, case: str = "conv_id", rounds: int = 24, max_calls: int = 64, max_bytes: int = 1_600_000, request_bytes: int = 62_000, sure: float = SURE) -> tuple[DataFrame, DataFrame, DataFrame]:
+def search(found: DataFrame, cards: DataFrame, unread: DataFrame, client: Client, cost: Column, case: str = "conv_id", rounds: int = 24, max_calls: int = 64, max_bytes: int = 1_600_000, request_bytes: int = 62_000, sure: float = SURE, ledger: Ledger | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, cases, trace): every case acts until it stops.
 
     found seeds the nodes; cards (case, card, refs: array of ref and step; card counts from 0) are deferred segments, opened in
@@ -156,21 +157,33 @@ def search(found: DataFrame, cards: DataFrame, unread: DataFrame, client: Client
     (case, step, action, cost and the node's columns) as settle() reads it. cases: case, acted, opened, calls, bytes, reason, the
     reason being evidence_sufficient, round_budget, search_budget (two requests are kept back), request_context_limit,
     no_answer (the client had none) or frontier_exhausted. A case known only by its cards begins by opening them.
+
+    With a ledger every round is kept there, and a run that has rounds in it goes on behind the last whole one; it raises where the run
+    was stopped. Seeds, cards and budgets must be those of the run that was cut off.
     """
+    if ledger:
+        ledger.check()
     whole = found.join(unread, [case, "step"], "left").withColumn("unread", F.coalesce("unread", F.lit(0)))
     nodes = kept_once(add_nodes(None, whole, case))
     zero = [F.lit(0).cast("long").alias(c) for c in ("acted", "opened", "calls", "bytes")]
     state = kept_once(found.select(case).unionByName(cards.select(case)).distinct().select(case, *zero))
     most = cards.agg(F.max("card")).first()[0]
-    finished, ended, trace = [], [], []
-    for _ in range(rounds + (0 if most is None else most + 1) + 1):
+    finished, ended, trace, first = [], [], [], ledger.rounds() if ledger else 0
+    for k in range(first):
+        trace.append(ledger.load(k, "asked"))
+        ended.append(ledger.load(k, "over"))
+        finished.append(ledger.load(k, "finished"))
+    if first:
+        nodes, state = ledger.load(first - 1, "nodes"), ledger.load(first - 1, "state")
+        if state.isEmpty():
+            return tuple(reduce(DataFrame.unionByName, x) for x in (finished, ended, trace))
+    for k in range(first, rounds + (0 if most is None else most + 1) + 1):
         spent = (F.col("calls") + 2 >= max_calls) | (F.col("bytes") + 2 * request_bytes >= max_bytes)
         picks = choose(nodes.join(state.where(~spent).select(case), case, "left_semi"), cost, case, sure)
         plan = state.join(picks, case, "left").join(cards.select(case, F.col("card").alias("opened"), F.col("refs").alias("card_refs")), [case, "opened"], "left")
         why = F.when(spent, "search_budget").when(F.col("cost") > request_bytes, "request_context_limit").when(F.col("action").isNull() & F.col("card_refs").isNull(), "frontier_exhausted")
         plan = kept_once(plan.withColumn("why", why))
         asked = plan.where("why is null and action is not null").select(case, "step", "action", "cost", "acted")
-        trace.append(asked)
         answers = kept_once(client(asked.join(nodes, [case, "step"])))
         after, causes = settle(nodes, answers, case, sure)
         opened = plan.where("why is null and action is null").select(case, F.inline("card_refs")).select(case, "step", "ref", F.lit(None).cast("int").alias("parent"), F.lit("reopened_segment").alias("source"))
@@ -184,10 +197,17 @@ def search(found: DataFrame, cards: DataFrame, unread: DataFrame, client: Client
         reason = F.coalesce(F.col("why"), F.when(F.col("did") & F.col("heard").isNull(), "no_answer"), F.when(F.col("did") & F.coalesce("enough", F.lit(False)), "evidence_sufficient"), F.when(F.col("acted") >= rounds, "round_budget"))
         judged = kept_once(moved.join(enough, case, "left").join(heard, case, "left").withColumn("reason", reason).select(case, "acted", "opened", "calls", "bytes", "reason"))
         over = judged.where("reason is not null")
-        ended.append(over)
-        finished.append(nodes.join(over.select(case), case, "left_semi"))
-        state = judged.where("reason is null").drop("reason")
-        nodes = nodes.join(over.select(case), case, "left_anti")
+        told = {
+            "asked": asked, "over": over, "finished": nodes.join(over.select(case), case, "left_semi"),
+            "state": judged.where("reason is null").drop("reason"), "nodes": nodes.join(over.select(case), case, "left_anti"),
+        }
+        if ledger:
+            told = ledger.save(k, told)
+            ledger.check()
+        trace.append(told["asked"])
+        ended.append(told["over"])
+        finished.append(told["finished"])
+        state, nodes = told["state"], told["nodes"]
         if state.isEmpty():
             break
     return reduce(DataFrame.unionByName, finished), reduce(DataFrame.unionByName, ended), reduce(DataFrame.unionByName, trace)

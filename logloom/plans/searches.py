@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..functions.workers import kept_once
 from ..operators import clients, frontier, packets, policy, search, segment
+from ..operators.ledger import Ledger
 from . import adapters as A
 from .adapters import ctes
 from .catalogue import query
@@ -43,7 +44,7 @@ def _cost():
     return 100 + 40 * F.col("unread") + 7 * F.length("action") + 10 * F.size("refs")
 
 
-def _search(spark, d, rounds: int = 8, client: frontier.Client | None = None):
+def _search(spark, d, rounds: int = 8, client: frontier.Client | None = None, ledger: Ledger | None = None):
     """The longest step of each case is suspected; segments of the other steps, eight each, were deferred."""
     s = _steps(spark, d)
     ref = F.concat(F.lit("s"), F.col("step").cast("string"))
@@ -52,7 +53,7 @@ def _search(spark, d, rounds: int = 8, client: frontier.Client | None = None):
     rest = s.select("conv_id", "step").join(longest.withColumnRenamed("step", "longest"), "conv_id").where("step <> longest")
     cards = rest.groupBy("conv_id", F.floor(F.col("step") / 8).alias("k")).agg(F.sort_array(F.collect_list(F.struct(ref.alias("ref"), "step"))).alias("refs"))
     cards = cards.select("conv_id", (F.row_number().over(Window.partitionBy("conv_id").orderBy("k")) - 1).cast("long").alias("card"), "refs")
-    return frontier.search(found, cards, _unread(s), client or _client(spark, d), _cost(), rounds=rounds, max_bytes=2 * 62_000 + 1700)
+    return frontier.search(found, cards, _unread(s), client or _client(spark, d), _cost(), rounds=rounds, max_bytes=2 * 62_000 + 1700, ledger=ledger)
 
 
 @query()
