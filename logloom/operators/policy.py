@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import null_safe_join, value_at_ranks
@@ -14,6 +14,18 @@ def top_k_forced(answers: DataFrame, k: int, question: str = "question", option:
     return answers.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def ranked_choices(answers: DataFrame, named: Column, k: int, question: str = "question") -> DataFrame:
+    """(question, option, rank): the k best of the options that name something, by (p desc, option), the chosen one first if it does.
+
+    A choice that names nothing, unknown say, promotes none. A missing p counts as 0; a question with a p that is no number from 0 to 1 is
+    left out as a whole.
+    """
+    sane = F.coalesce("p", F.lit(0.0)).between(0.0, 1.0) & ~F.isnan(F.coalesce("p", F.lit(0.0)))
+    checked = answers.withColumn("__sane", F.bool_and(sane).over(Window.partitionBy(question))).where(F.col("__sane") & named)
+    order = Window.partitionBy(question).orderBy((F.col("option") == F.col("choice")).desc_nulls_last(), F.coalesce("p", F.lit(0.0)).desc(), "option")
+    return checked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(question, "option", "rank")
+
+
 def adaptive_set(answers: DataFrame, mass: float | str = 0.9, question: str = "question") -> DataFrame:
     """The fewest likeliest options that reach the mass, with all ties of the last; mass 1 keeps all.
 

@@ -14,11 +14,11 @@ K1, B, RRF_K, MMR = 1.2, 0.75, 60, 0.7
 def term_frequencies(corpus: DataFrame, ref: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
     """(ref, term, tf), of the wanted terms if they are given."""
     each = corpus.select(ref, F.explode(tokens(F.col(text))).alias("term"))
-    return (each if wanted is None else each.join(F.broadcast(wanted), "term")).groupBy(ref, "term").agg(F.count("*").alias("tf"))
+    return (each if wanted is None else each.join(wanted, "term")).groupBy(ref, "term").agg(F.count("*").alias("tf"))
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, ref: str, text: str, query: str, query_text: str) -> DataFrame:
-    """(query, ref, score, rank) of every positive score; queries count each term once; ranks by (score to 9 digits desc, ref)."""
+    """(query, ref, score, rank) of every positive score; queries count each term once; ranks by (score to 6 digits desc, ref)."""
     asked = queries.select(query, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term")).distinct()
     lengths = corpus.select(ref, F.size(tokens(F.col(text))).cast("double").alias("len"))
     facts = lengths.agg(F.count("*").cast("double").alias("n_docs"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg_len"))
@@ -26,8 +26,8 @@ def bm25(corpus: DataFrame, queries: DataFrame, ref: str, text: str, query: str,
     tf = term_frequencies(corpus, ref, text, asked.select("term").distinct())
     df = tf.groupBy("term").agg(F.count("*").cast("double").alias("df"))
     part = F.ln(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1.0 - B + B * F.col("len") / F.col("avg_len")))
-    weighed = tf.join(F.broadcast(df), "term").join(lengths, ref).join(F.broadcast(facts)).select(ref, "term", part.alias("part"))
-    scored = weighed.join(F.broadcast(asked), "term").groupBy(query, ref).agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
+    weighed = tf.join(df, "term").join(lengths, ref).join(F.broadcast(facts)).select(ref, "term", part.alias("part"))
+    scored = weighed.join(asked, "term").groupBy(query, ref).agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc(), ref)))
 
 

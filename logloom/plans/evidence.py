@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_role
-from ..operators import joins, metrics, policy, search, segment
+from ..operators import joins, metrics, policy, ranks, search, segment
 from . import adapters as A
 from .adapters import ctes
 from .catalogue import _METRICS, _SCORED, _TAIL, _pack, _scored, _stop, query
@@ -119,6 +119,34 @@ def error_classes(spark, d):
     return A.calls(spark, d).select("event_id", error_class(F.expr(_STATUS), F.expr(_BODY)).alias("class"))
 
 
+#: What tells a block that concerns one case only.
+BLOCKED, BLOCKER = 403, "Cloudflare"
+_BLOCK = f"case when event_id % 4 = 1 then 'blocked by {BLOCKER}' else {_BODY} end"
+
+
+@query(ctes("calls") + f""", e as (select case_id, row_number() over (partition by case_id order by ts, event_id) as n, {_STATUS} as status, {_BLOCK} as body from calls),
+k as (select *, status = {BLOCKED} and contains(body, '{BLOCKER}') as blocked, status = 402 or (status <> 200 and regexp_matches(lower(body), '{SPENT}')) as spent from e)
+select case_id, min(n) filter (blocked) as blocked_at, min(n) filter (spent) as spent_at, case when min(n) filter (spent) < coalesce(min(n) filter (blocked), 1e18) then 'run_stopped' when min(n) filter (blocked) is not null then 'isolated' else 'finished' end as outcome from k group by 1""")
+def isolated_blocks(spark, d):
+    """A block sets its own case aside and the others go on; a spent balance stops the run, unless the case was set aside before."""
+    calls = A.calls(spark, d).select("case_id", F.row_number().over(Window.partitionBy("case_id").orderBy("ts", "event_id")).cast("long").alias("n"), F.expr(_STATUS).alias("status"), F.expr(_BLOCK).alias("body"))
+    blocked = (F.col("status") == BLOCKED) & F.col("body").contains(BLOCKER)
+    spent = error_class(F.col("status"), F.col("body")) == "balance"
+    g = calls.groupBy("case_id").agg(F.min(F.when(blocked, F.col("n"))).alias("blocked_at"), F.min(F.when(spent, F.col("n"))).alias("spent_at"))
+    first = F.coalesce(F.col("spent_at") < F.col("blocked_at"), F.col("spent_at").isNotNull())
+    return g.withColumn("outcome", F.when(first, "run_stopped").when(F.col("blocked_at").isNotNull(), "isolated").otherwise("finished"))
+
+
+_ODD = "case when question % 11 = 3 and option = 'view' then 1.5::double else p end"
+
+
+@query(ctes("answers") + f", a as (select question, option, choice, {_ODD} as p from answers), v as (select * from a where question not in (select question from a where p < 0 or p > 1)) select question, option, row_number() over (partition by question order by (option = choice) desc, p desc, option) as rank from v where option <> 'error' qualify rank <= 3")
+def ranked_numeric(spark, d):
+    """Options ranked within their question; `error` names nothing, and questions with an impossible probability are left out."""
+    odd = A.answers(spark, d).withColumn("p", F.expr(_ODD.replace("::double", "D")))
+    return policy.ranked_choices(odd, F.col("option") != "error", 3).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(ctes("steps") + "select conv_id, string_agg(role, ',' order by first) as roles from (select conv_id, role, min(step) as first from steps group by 1, 2) group by 1")
 def ordered_dedupe(spark, d):
     each = F.transform(F.sort_array(F.collect_list(F.struct("step", "role"))), lambda x: x["role"])
@@ -210,8 +238,12 @@ def diagnostics_by_reason(spark, d):
 
 @query(ctes("steps") + ", c as (select conv_id, conv_id % 5 as source, count(*) as s, sum(n_bytes)::bigint as b from steps group by 1) select source, count(*) as n, median(s)::double as median_steps, max(s) as max_steps, median(b)::double as median_bytes from c group by 1")
 def data_audit(spark, d):
+    """Medians by counting: five sources hold all cases, and none is sorted whole."""
     c = A.steps(spark, d).groupBy("conv_id").agg(F.count("*").alias("s"), F.sum("n_bytes").alias("b")).withColumn("source", F.pmod("conv_id", F.lit(5)))
-    return c.groupBy("source").agg(F.count("*").alias("n"), F.median("s").cast("double").alias("median_steps"), F.max("s").alias("max_steps"), F.median("b").cast("double").alias("median_bytes"))
+    halves = {"lo": lambda n: F.floor((n + 1) / 2), "hi": lambda n: F.floor(n / 2) + 1}
+    median = lambda value, name: ranks.value_at_ranks(c, ["source"], value, halves).select("source", ((F.col("lo") + F.col("hi")) / 2).cast("double").alias(name))
+    whole = c.groupBy("source").agg(F.count("*").alias("n"), F.max("s").alias("max_steps"))
+    return whole.join(median("s", "median_steps"), "source").join(median("b", "median_bytes"), "source").select("source", "n", "median_steps", "max_steps", "median_bytes")
 
 
 @query("with recursive " + A.CTES["steps"] + ", " + _pack("steps", "conv_id", "step", "n_bytes", 1500, 4) + ", b as (select r.conv_id, r.step, p.batch, row_number() over (partition by r.conv_id order by r.n_bytes desc, r.step) as k from p join r using (conv_id, i)) select conv_id, count(distinct batch) as segments, count(distinct batch) filter (k <= 2) as read, count(distinct batch) - count(distinct batch) filter (k <= 2) as pending, count(*) filter (k <= 2) as steps_shown from b group by 1")

@@ -43,3 +43,19 @@ def test_clip_gives_both_ends_the_same_room():
     clipped = segment.clip_text("x" * 500, 200)
     head, tail = clipped.split(segment.MARK)
     assert len(head) == len(tail) == (200 - len(segment.MARK)) // 2
+
+
+def test_settings_are_checked():
+    from logloom.operators.settings import SearchSettings
+
+    assert SearchSettings().checked() == SearchSettings()
+    wrong = {
+        "span_bytes": [0, -1, 2.5, True, float("nan"), None, "9"], "selection_mass": [0.0, 1.01, float("inf")], "decision_threshold": [-0.1], "diversity_percent": [101, 0], "directory_fanout": [1, 13],
+        "segment_records": [251], "evidence_bytes": [5199], "reserve_calls": [1], "reserve_request_bytes": [123_999], "global_retrieval": [2, True, 0.0], "factored_verification": [-1], "max_hops": [0],
+    }
+    for name, values in wrong.items():
+        for value in values:
+            assert SearchSettings(**{name: value}).faults() == [name], (name, value)
+    with pytest.raises(ValueError, match="max_calls, max_rounds"):
+        SearchSettings(max_calls=0, max_rounds=-1).checked()
+    assert SearchSettings(selection_mass=1, global_retrieval=0).faults() == []
