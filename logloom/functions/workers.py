@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -39,7 +40,7 @@ def remembered(spark: SparkSession, path: str) -> str:
     return path
 
 
-def kept_once(df: DataFrame) -> DataFrame:
+def kept_at(df: DataFrame) -> tuple[DataFrame, str]:
     """df, computed once and read back from the shared folder, spark.checkpoint.dir, or a new one where that is unset and all is on one machine.
 
     A written table outlives executors as a checkpoint does, and df is computed once for it instead of twice. It is deleted when
@@ -54,4 +55,17 @@ def kept_once(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(shared or remembered(spark, tempfile.mkdtemp(prefix="logloom-")))
     path = remembered(spark, f"{sc.getCheckpointDir()}/kept-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def kept_once(df: DataFrame) -> DataFrame:
+    """kept_at() without the path."""
+    return kept_at(df)[0]
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a table that no frame in use reads, and lets Spark drop the shuffle files that led to it."""
+    told = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    told.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(told, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

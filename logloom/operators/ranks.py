@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.workers import kept_once
+from ..functions.workers import forget, kept_at, kept_once
 
 CHUNK = 1 << 16
 
@@ -55,7 +55,9 @@ def range_rank(df: DataFrame, by: list[str], order: list[Column], out: str = "ra
     rows of the group, and the rows of the group in the partitions before. These are counted: a row for each group and partition.
     """
     keys = [*[F.col(c) for c in by], *order]
-    placed = kept_once(kept_once(df).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__pos", F.monotonically_increasing_id()))
+    told, path = kept_at(df)  # the ranges are found by a sample, which would compute df again
+    placed = kept_once(told.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__pos", F.monotonically_increasing_id()))
+    forget(df.sparkSession, path)
     at = placed.withColumn("__part", F.shiftright("__pos", 33))
     runs = at.groupBy(*by, "__part").agg(F.min("__pos").alias("__lo"), F.count("*").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

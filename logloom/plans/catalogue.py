@@ -195,7 +195,7 @@ def rrf_fuse_whole(spark, d):
     docs = A.load(spark, d, "documents")
     with _indexed(spark, d) as index:
         whole = ranks.range_rank(index.scores(_asked(spark, d), "item_id"), ["item_id"], [F.desc("score"), F.asc("doc_id")]).select("item_id", "doc_id", "rank")
-    return retrieval.fuse_whole(kept_once(whole), docs, "doc_id", "item_id", once=True).select("doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return retrieval.fuse_whole(whole, docs, "doc_id", "item_id", once=True).select("doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query()
