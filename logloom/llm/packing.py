@@ -172,7 +172,7 @@ class Stream:
         return pa.table(out, names=[*self.rows.column_names, *MADE])
 
 
-def pack(docs: DataFrame, vocabulary: str, *, window: int = 2048, end_id: int = 1, sentence: int = 16, forced: int = 128, gap: int = 256, short: int = 64, shortest: int = 256, horizon: int = 1 << 23, text_col: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, *, window: int = 2048, end_id: int = 1, sentence: int = 16, forced: int = 128, gap: int = 256, short: int = 256, shortest: int = 256, horizon: int = 1 << 23, text_col: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row for each piece: the carried columns, start (the document's tokens before it), length, doc_tokens (end_id included),
     sequence_id, offset (in that sequence), ids (unsigned 32-bit numbers, little-endian).
 
