@@ -8,29 +8,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.workers import kept_once
+from .ranks import null_safe_join, range_rank
 from .segment import greedy_pack
 
 
+def _beaten(placed: DataFrame, by: str, item: str, score: str, group: int) -> DataFrame:
+    """placed with __g, the group of its place __at in its case, and __r, its rank there: a group meets in a task, a case never does."""
+    grouped = placed.withColumn("__g", F.floor((F.col("__at") - 1) / group))
+    return grouped.withColumn("__r", F.row_number().over(Window.partitionBy(by, "__g").orderBy(F.col(score).desc(), item, "__at")))
+
+
+def _placed(candidates: DataFrame, by: str, item: str, score: str) -> DataFrame:
+    """candidates with __at, the 1-based place of each in its case, by item; of equal items the best comes first."""
+    told = candidates.withColumn("__tie", F.monotonically_increasing_id())
+    return range_rank(told, [by], [F.asc(item), F.desc(score), F.asc("__tie")], "__at").drop("__tie")
+
+
 def tournament_round(candidates: DataFrame, by: str, item: str, score: str, group: int = 8, keep: int = 3) -> DataFrame:
     """Candidates in order fall into groups; the best of each go on. Groups of at most keep pass whole."""
-    placed = candidates.withColumn("__g", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(item)) - 1) / group))
-    ranked = placed.withColumn("__r", F.row_number().over(Window.partitionBy(by, "__g").orderBy(F.col(score).desc(), item)))
-    return ranked.where(F.col("__r") <= keep).drop("__g", "__r")
+    ranked = _beaten(_placed(candidates, by, item, score), by, item, score, group)
+    return ranked.where(F.col("__r") <= keep).drop("__at", "__g", "__r")
 
 
 def tournament(candidates: DataFrame, by: str, item: str, score: str, limit: int = 8, group: int = 8, keep: int = 3, largest: int | None = None) -> DataFrame:
     """Rounds until no case has more than limit candidates; the number of rounds follows from the largest case alone.
 
-    Cases already within the limit aren't reduced further.
+    Cases already within the limit aren't reduced further. Candidates are sorted once: all groups but a case's last send on as many,
+    so the survivors' places in the next round and their number follow by arithmetic, and a round is one shuffle of what is left.
     """
-    most = largest if largest is not None else candidates.groupBy(by).count().agg(F.max("count")).first()[0] or 0
+    placed = _placed(candidates, by, item, score)
+    sizes = kept_once(placed.groupBy(by).agg(F.max("__at").alias("__n")))
+    most = largest if largest is not None else sizes.agg(F.max("__n")).first()[0] or 0
+    live, names = null_safe_join(placed, sizes, [by]), candidates.columns
     while most > limit:
-        size = F.count("*").over(Window.partitionBy(by))
-        sized = candidates.withColumn("__n", size)
-        through = sized.where(F.col("__n") <= limit).drop("__n")
-        candidates = tournament_round(sized.where(F.col("__n") > limit).drop("__n"), by, item, score, group, keep).unionByName(through)
+        n, plays = F.col("__n"), F.col("__n") > limit
+        left = _beaten(live, by, item, score, group).where((F.col("__r") <= keep) | ~plays)
+        place = F.col("__g") * keep + F.row_number().over(Window.partitionBy(by, "__g").orderBy("__at"))
+        size = F.floor(n / group) * keep + F.least(n % group, F.lit(keep))
+        live = left.select(*names, F.when(plays, place).otherwise(F.col("__at")).alias("__at"), F.when(plays, size).otherwise(n).alias("__n"))
         most = most // group * keep + min(most % group, keep)
-    return candidates
+    return live.select(*names)
 
 
 def adaptive_tournament(candidates: DataFrame, by: str, item: str, score: str, size: str, unsure: str, budget: int, percent: int = 90, most: int = 250, rounds: int = 30) -> DataFrame:

@@ -81,6 +81,23 @@ def test_tournament_and_budget(spark):
     assert (r.stop_at, r.reason) == (3, "input_token_budget")
 
 
+
+def test_tournament_reads_its_candidates_once(spark):
+    """Against a plain loop; the plan holds the candidates once, where every round doubled it."""
+    sizes = {None: 9, "a": 700, "b": 61, "c": 8, "d": 1}
+    rows = [(g, i * 3, (i * 7919 + 5) % 101 if i % 17 else None) for g, n in sizes.items() for i in range(n)]
+    out = search.tournament(spark.createDataFrame(rows, "g string, item long, s long").repartition(3), "g", "item", "s")
+    want = []
+    for g in sizes:
+        live = [r[1:] for r in rows if r[0] == g]
+        while len(live) > 8:
+            groups = [live[k : k + 8] for k in range(0, len(live), 8)]
+            live = sorted(x for part in groups for x in sorted(part, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))[:3])
+        want += [(g, *x) for x in live]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert out._jdf.queryExecution().analyzed().collectLeaves().size() <= 3
+
+
 def test_missing_scores_wrong(spark):
     g = spark.createDataFrame([(0, "a", 3, 0, "Planner (-> Worker)"), (1, "a", 3, 0, "Planner"), (2, "b", 3, 0, "Planner")], "conv_id int, source string, n_steps int, mistake_step int, mistake_agent string")
     p = spark.createDataFrame([(0, 2, "  PLANNER (-> X) "), (2, 0, "w")], "conv_id int, predicted_step int, predicted_role string")
