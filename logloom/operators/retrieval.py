@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import REPAIR, evidence_terms, jaccard, normalize_role, recipient, terms, tokens
-from ..functions.workers import kept_once
+from ..functions.workers import dealt_once, kept_once
 
 K1, B, RRF_K, MMR = 1.2, 0.75, 60, 0.7
+#: How many scores of (query, ref) a task sums at a time, at most.
+PAIRS = 1_000_000
 
 
 def term_frequencies(corpus: DataFrame, ref: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
@@ -43,13 +47,19 @@ def fuse(rankings: DataFrame, by: list[str], ref: str, rank: str = "rank", sourc
 
 
 def overlap_idf(corpus: DataFrame, queries: DataFrame, ref: str, text: str, query: str, query_text: str) -> DataFrame:
-    """(query, ref, score, rank): summed idf ln(1 + N / df) of the shared terms."""
-    own = corpus.select(ref, F.explode(terms(F.col(text))).alias("term"))
-    asked = queries.select(query, F.explode(terms(F.col(query_text))).alias("term"))
-    own = own.join(asked.select("term").distinct(), "term")
+    """(query, ref, score, rank): summed idf ln(1 + N / df) of the shared terms.
+
+    A ref's terms stay in one row, so a frequent term's refs never meet: a score is summed where its ref lies, and of a query's
+    ranking each task gives what is asked of it. The queries' terms with their idf are met as one table, as small as the queries.
+    """
+    asked = kept_once(queries.select(query, F.explode(terms(F.col(query_text))).alias("term")))
+    own = corpus.select(ref, F.explode(terms(F.col(text))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     n = corpus.agg(F.count("*").cast("double").alias("n_docs"))
     idf = own.groupBy("term").agg(F.count("*").cast("double").alias("df")).join(F.broadcast(n)).select("term", F.ln(1.0 + F.col("n_docs") / F.col("df")).alias("idf"))
-    scored = asked.join(own, "term").join(idf, "term").groupBy(query, ref).agg(F.round(F.sum("idf"), 6).alias("score"))
+    weighed = kept_once(asked.join(idf, "term"))
+    # a task holds the pairs of its refs and the queries while it sums them: more refs make more tasks, not larger ones
+    least = math.ceil(corpus.count() * queries.count() / PAIRS)
+    scored = dealt_once(own, [ref], least).join(weighed, "term").groupBy(query, ref).agg(F.round(F.sum("idf"), 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc(), ref)))
 
 

@@ -1,12 +1,13 @@
 """What every round reads lies where it is: no round shuffles the facts of a log."""
 
+import math
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions.workers import dealt_once
-from logloom.operators import clients
+from logloom.operators import clients, retrieval
 from logloom.plans.evidence import SIGNALS
 
 
@@ -53,3 +54,24 @@ def test_dealt_rows_are_whole(spark, plain):
     assert sorted(map(str, dealt.collect())) == sorted(map(str, df.collect()))
     assert not spark.catalog.listTables()
     assert "Exchange" not in dealt.groupBy("g").agg(F.sum("v"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_frequent_term_s_rows_never_meet(spark, plain, monkeypatch):
+    """No shuffle by term lies above a document's texts: rows of a term in every document would all meet in one task."""
+    docs = spark.createDataFrame([(k % 97, f"alpha beta{k % 5} gamma{k}") for k in range(100)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "Alpha beta1 beta1"), (2, "gamma7 delta"), (3, "")], "item_id long, asked string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    out = retrieval.overlap_idf(docs, asked, "doc_id", "text", "item_id", "asked")
+    assert "hashpartitioning(term" not in out._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(retrieval, "PAIRS", 30)
+    assert "10 out of 10" in retrieval.overlap_idf(docs, asked, "doc_id", "text", "item_id", "asked")._jdf.queryExecution().executedPlan().toString()
+    got = {(r.item_id, r.doc_id): (r.score, r["rank"]) for r in out.collect()}
+    idf = {"alpha": math.log(2), "beta1": math.log(6), "gamma7": math.log(101)}
+    want = {}
+    for k in range(100):
+        for item, words in ((1, ("alpha", "beta1")), (2, ("gamma7",))):
+            held = [w for w in words if w in ("alpha", f"beta{k % 5}", f"gamma{k}")]
+            if held:
+                want[item, k % 97] = want.get((item, k % 97), 0) + sum(idf[w] for w in held)
+    assert {k: v[0] for k, v in got.items()} == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
+    assert [k for k, v in got.items() if v[1] == 1] == [k for k, v in got.items() if (-v[0], k[1]) == min((-w[0], m[1]) for m, w in got.items() if m[0] == k[0])]
