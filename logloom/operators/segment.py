@@ -11,7 +11,6 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..functions.workers import importable
 from .ranks import null_safe_join
 
-PIECES = "array<struct<part:int,start_byte:int,end_byte:int,piece:string>>"
 #: Fixed value: what stands for the part left out.
 MARK = "\n[... excerpt omitted ...]\n"
 
@@ -35,14 +34,23 @@ def split_utf8(text: str, budget: int) -> list[tuple[int, int, int, str]]:
 
 
 def utf8_pieces(df: DataFrame, text_col: str, budget: int) -> DataFrame:
-    """Every row's pieces with byte offsets: part, start_byte, end_byte, piece, sha256."""
+    """Every row's pieces with byte offsets: part, start_byte, end_byte, piece, sha256.
+
+    A worker reads one text at a time and gives back only where its pieces end; they are cut out of the text in the JVM.
+    """
     importable(df.sparkSession)
 
-    @F.pandas_udf(PIECES)
-    def pieces(text: pd.Series) -> pd.Series:
-        return pd.Series([split_utf8(t or "", budget) for t in text])
+    @F.arrow_udf("array<int>")
+    def ends(texts: pa.Array) -> pa.Array:
+        return pa.array(([end for _, _, end, _ in split_utf8(t.as_py() or "", budget)] for t in texts), pa.list_(pa.int32()))
+
+    def cut(told: Column) -> Column:
+        start = lambda k: F.coalesce(F.get(told["ends"], k - 1), F.lit(0))
+        return F.transform(told["ends"], lambda end, k: F.struct(k.alias("part"), start(k).alias("start_byte"), end.alias("end_byte"), F.substring(told["raw"], start(k) + 1, end - start(k)).cast("string").alias("piece")))
 
-    return df.select("*", F.explode(pieces(F.col(text_col))).alias("__p")).select(*df.columns, "__p.*", F.sha2("__p.piece", 256).alias("sha256"))
+    # the bytes are taken once for each text
+    told = F.array(F.struct(ends(F.col(text_col)).alias("ends"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw")))
+    return df.select("*", F.explode(F.element_at(F.transform(told, cut), 1)).alias("__p")).select(*df.columns, "__p.*", F.sha2("__p.piece", 256).alias("sha256"))
 
 
 def clip_text(text: str, budget: int) -> str:

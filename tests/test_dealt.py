@@ -1,5 +1,6 @@
 """What every round reads lies where it is: no round shuffles the facts of a log."""
 
+import hashlib
 import math
 import re
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions.workers import dealt_once
-from logloom.operators import clients, retrieval
+from logloom.operators import clients, retrieval, segment
 from logloom.plans.evidence import SIGNALS
 
 
@@ -75,3 +76,16 @@ def test_a_frequent_term_s_rows_never_meet(spark, plain, monkeypatch):
                 want[item, k % 97] = want.get((item, k % 97), 0) + sum(idf[w] for w in held)
     assert {k: v[0] for k, v in got.items()} == {k: pytest.approx(v, abs=2e-6) for k, v in want.items()}
     assert [k for k, v in got.items() if v[1] == 1] == [k for k, v in got.items() if (-v[0], k[1]) == min((-w[0], m[1]) for m, w in got.items() if m[0] == k[0])]
+
+
+def test_workers_give_back_ends_not_pieces(spark):
+    """Pieces of a batch were held in a worker as text; now it gives back numbers, and the pieces are the same."""
+    texts = [None, "", "a" * 7, "äöü€" * 9, "x\U0001f600" * 5, "日本語テキスト" * 4, "\x00b\n" * 6]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    for budget in (1, 2, 5, 8, 2200):
+        out = segment.utf8_pieces(df, "text", budget)
+        got = sorted((r.k, r.part, r.start_byte, r.end_byte, r.piece) for r in out.collect())
+        assert got == [(k, *p) for k, t in enumerate(texts) for p in segment.split_utf8(t or "", budget)]
+        assert all(r.sha256 == hashlib.sha256(r.piece.encode()).hexdigest() for r in out.collect())
+    udf = re.search(r"ArrowEvalPython \[(\w+)\(", out._jdf.queryExecution().executedPlan().toString()).group(1)
+    assert udf == "ends"
