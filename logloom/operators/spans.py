@@ -7,7 +7,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN
@@ -137,13 +137,18 @@ def term_start(text: Column, term: Column) -> Column:
 def rarest_term(steps: DataFrame, asked: DataFrame, case: str, step: str, text: str) -> DataFrame:
     """(case, step, term): the asked term (case, term) that the fewest steps of the case hold; of equals the one that comes first.
 
-    That is the one of greatest idf, without comparing logarithms. Only asked terms are dealt out. An excerpt is anchored on a whole
+    That is the one of greatest idf, without comparing logarithms. A step's row meets its case's asked terms whole, and only those
+    that it holds become rows. An excerpt is anchored on a whole
     Latin token; a bigram of a CJK run, which is a term of retrieval, is none.
     """
-    own = steps.select(case, step, F.posexplode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0))).alias("pos", "term"))
-    met = own.join(asked.select(case, "term").distinct(), [case, "term"]).groupBy(case, "term", step).agg(F.min("pos").alias("pos"))
-    df = met.groupBy(case, "term").agg(F.count("*").alias("df"))
-    return met.join(df, [case, "term"]).groupBy(case, step).agg(F.min_by("term", F.struct("df", "pos")).alias("term"))
+    words = asked.groupBy(case).agg(F.collect_set("term").alias("__asked"))
+    own = F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0))
+    told = steps.join(words, case).select(case, step, own.alias("__own"), "__asked")
+    hits = F.transform(F.array_intersect("__own", "__asked"), lambda t: F.struct(t.alias("term"), F.array_position("__own", t).alias("pos")))
+    # all by case: steps that are dealt out by case aren't moved
+    met = told.select(case, step, F.inline(hits)).groupBy(case, step, "term").agg(F.min("pos").alias("pos"))
+    df = F.count("*").over(Window.partitionBy(case, "term"))
+    return met.withColumn("df", df).groupBy(case, step).agg(F.min_by("term", F.struct("df", "pos")).alias("term"))
 
 
 def outline(cards: DataFrame, case: str, meta: Column, text: str, budget: int, least: int = 80, frame: int = 32) -> DataFrame:

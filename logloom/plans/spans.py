@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..functions.workers import dealt_once, kept_once
 from ..operators import search, segment, spans
 from . import adapters as A
 from .catalogue import query
@@ -13,6 +16,8 @@ from .evidence import SIGNALS
 
 #: Small budgets, so that the tables' short texts are cut, halved and packed as long logs are.
 SPAN_BYTES, SEGMENT_BYTES, RECORDS = 64, 1800, 6
+#: Bytes of text that a task of query_excerpt takes, about.
+SHARE = 16_000_000
 _JSON = "to_json({'step': step, 'name': name, 'role': role, 'content': content})::varchar"
 _MARK = "chr(10) || '" + segment.MARK.strip("\n") + "' || chr(10)"
 _WITH = "with recursive " + A.CTES["steps"]
@@ -108,9 +113,14 @@ x as (select s.conv_id, s.step, content, term, case when term is null then 0 els
 @query(_WITH + _TERMS + f"select conv_id, step, term, strlen(left(content, c::bigint))::bigint as start_byte, sha256({_fit('left', 'substr(content, c::bigint + 1)', '120', 120)}) as sha256 from x")
 def query_excerpt(spark, d):
     """An excerpt of each later step, around the rarest word that the case's task asks for."""
-    s = A.steps(spark, d).select("conv_id", "step", "content")
+    own = A.steps(spark, d).select("conv_id", "step", "content", "n_bytes")
+    shares = math.ceil((own.agg(F.sum("n_bytes")).first()[0] or 0) / SHARE)
+    s = dealt_once(own.drop("n_bytes"), ["conv_id"], shares)
     asked = s.where("step = 0").select("conv_id", F.explode(tokens(F.col("content"))).alias("term"))
-    met = s.where("step > 0").join(spans.rarest_term(s, asked, "conv_id", "step", "content"), ["conv_id", "step"], "left")
+    best = kept_once(spans.rarest_term(s, asked, "conv_id", "step", "content"))
+    n = max(shares, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    both = lambda df: df.repartition(n, "conv_id", "step")
+    met = both(s.where("step > 0")).join(both(best), ["conv_id", "step"], "left")
     at = met.withColumn("c", spans.term_start(F.col("content"), F.col("term")))
     first, _, content = spans.excerpt_at(F.col("content"), F.col("c"), 120)
     return at.select("conv_id", "step", "term", first.cast("long").alias("start_byte"), F.sha2(content, 256).alias("sha256"))

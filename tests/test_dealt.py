@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions.workers import dealt_once
-from logloom.operators import clients, retrieval, segment
+from logloom.operators import clients, retrieval, segment, spans
 from logloom.plans.evidence import SIGNALS
 
 
@@ -89,3 +89,22 @@ def test_workers_give_back_ends_not_pieces(spark):
         assert all(r.sha256 == hashlib.sha256(r.piece.encode()).hexdigest() for r in out.collect())
     udf = re.search(r"ArrowEvalPython \[(\w+)\(", out._jdf.queryExecution().executedPlan().toString()).group(1)
     assert udf == "ends"
+
+
+def test_only_asked_words_become_rows(spark, plain):
+    """A log dealt out by case isn't moved for its rarest words, though rows of a step repeat; every token was a row that was moved."""
+    rows = [(c, k, f"w{(k * 5 + c) % 7} common w{k % 4} w{k % 4} own{k}") for c in range(6) for k in range(9)] + [(2, 3, "w6 common"), (2, 3, "zz")]
+    steps = spark.createDataFrame(rows, "c long, s int, t string")
+    asked = spark.createDataFrame([(c, w) for c in range(5) for w in ("common", "w1", "w2", "w6", "none")], "c long, term string")
+    out = spans.rarest_term(dealt_once(steps, ["c"]), dealt_once(asked, ["c"]), "c", "s", "t")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    held = {}
+    for c, s, t in rows:
+        for pos, w in enumerate(t.split()):
+            if c < 5 and w in ("common", "w1", "w2", "w6", "none"):
+                held[c, s, w] = min(held.get((c, s, w), pos), pos)
+    want = {}
+    for (c, s, w), pos in held.items():
+        df = len({k for k in held if k[0] == c and k[2] == w})
+        want[c, s] = min(want.get((c, s), (df, pos, w)), (df, pos, w))
+    assert {(r.c, r.s): r.term for r in out.collect()} == {k: v[2] for k, v in want.items()}
