@@ -208,7 +208,7 @@ def diverse(pages: Callable[[DataFrame | None, int], DataFrame], by: str, ref: s
 
 def diverse_refs(index: Postings, corpus: DataFrame, asked: DataFrame, query: str, text: str, same: str, k: int, first: int = 64, most: int = 4096) -> DataFrame:
     """(query, ref, rank): the k diverse refs of each query over an index of the corpus; refs of equal `same` are alike in full."""
-    ref = index.ref
+    ref, held = index.ref, [0, None]  # how far the kept ranking reaches, and it
 
     def with_terms(best: DataFrame) -> DataFrame:
         few = best.select(ref).distinct()
@@ -217,7 +217,11 @@ def diverse_refs(index: Postings, corpus: DataFrame, asked: DataFrame, query: st
 
     def pages(live: DataFrame | None, n: int) -> DataFrame:
         own = asked if live is None else asked.join(live, query, "left_semi")
-        return with_terms(kept_once(index.ranked(own, query, n)))
+        if held[0] < n:  # the postings are read once for two pages
+            reach = min(4 * n, max(most + 1, n))
+            held[:] = [reach, kept_once(index.ranked(own, query, reach))]
+        best = held[1].where(F.col("rank") <= n)
+        return with_terms(best if live is None else best.join(live, query, "left_semi"))
 
     def exact(live: DataFrame) -> DataFrame:
         whole = index.scores(asked.join(live, query, "left_semi"), query)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions.workers import dealt_once
-from logloom.operators import clients, retrieval, segment, spans
+from logloom.operators import clients, postings, retrieval, segment, spans
 from logloom.plans.evidence import SIGNALS
 
 
@@ -108,3 +108,17 @@ def test_only_asked_words_become_rows(spark, plain):
         df = len({k for k in held if k[0] == c and k[2] == w})
         want[c, s] = min(want.get((c, s), (df, pos, w)), (df, pos, w))
     assert {(r.c, r.s): r.term for r in out.collect()} == {k: v[2] for k, v in want.items()}
+
+
+def test_two_pages_read_the_postings_once(spark, monkeypatch):
+    """Near copies lead a query through all pages; each page ranked all postings anew."""
+    docs = spark.createDataFrame([(k, "alpha beta " + "same words here " * 3, "s") for k in range(90)] + [(90 + k, f"alpha other{k} text{k}", f"t{k}") for k in range(5)], "doc_id long, text string, source string")
+    asked = spark.createDataFrame([(1, "alpha"), (1, "beta"), (2, "other3")], "item_id long, term string")
+    reached = []
+    ranked = postings.Postings.ranked
+    monkeypatch.setattr(postings.Postings, "ranked", lambda self, a, q, k: reached.append(k) or ranked(self, a, q, k))
+    with postings.Postings(docs, "doc_id", "text", asked.select("term")) as index:
+        choose = lambda first: sorted(map(tuple, postings.diverse_refs(index, docs, asked, "item_id", "text", "source", 3, first=first, most=128).collect()))
+        got, want = choose(2), choose(128)
+    assert got == want and len(got) == 4
+    assert reached == [12, 129, 129]
