@@ -78,6 +78,11 @@ def fuse_whole(rankings: DataFrame, eligible: DataFrame, ref: str, query: str, r
     """
     own = distinct_rankings(rankings, query, ref, rank)
     fused = own.groupBy(ref).agg(F.round(F.sum(1.0 / (RRF_K + F.col(rank))), 9).alias("score")) if once else fuse_scores(own, [], ref, rank, query)
+    return ranked_fused(fused, eligible, ref)
+
+
+def ranked_fused(fused: DataFrame, eligible: DataFrame, ref: str) -> DataFrame:
+    """fused (ref, score) with ranks, by score, then ref; where there is none, every eligible ref has score 1."""
     fused = fused.unionByName(eligible.select(ref, F.lit(1.0).alias("score")).distinct().join(F.broadcast(fused.select(F.lit(1).alias("any")).limit(1)), F.lit(True), "left_anti"))
     banded = fused.withColumn("band", F.floor(F.ln(F.greatest("score", F.lit(1e-9))) * -800))
     ahead = F.sum("n").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1))
